@@ -1,10 +1,10 @@
 """Byte-level BPE by monoid tree reduction.
 
 A text is cut by the splitting pattern, and each match is encoded alone. Long matches are halved until a half is short;
-halves are encoded by merging, and two neighbours are joined by re-encoding a window over their boundary that grows
+halves are merged by rank in the library's routine for one piece, and two neighbours are joined by re-encoding a window over their boundary that grows
 until it is provably stable: a sequence of tokens is the encoding of its bytes exactly if the encoding of every two
 adjacent tokens' bytes is these two tokens again, so once both ends of the window agree so with the tokens beside them,
-nothing outside can change. Decoding concatenates up the same kind of tree.
+nothing outside can change. That holds if each token's own bytes merge to that token, which the tests check. Decoding concatenates up the same kind of tree.
 
 Null texts count as empty: no tokens. Repeated rows are encoded each."""
 
@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 
 from . import common, tokens
 
-LEAF = 64
+#: Bytes up to which a half is merged at once.
+LEAF = 8
 
 
 class Encoder:
@@ -25,32 +26,16 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF):
         import regex
+        import tiktoken
 
         self.ranks, self.leaf = ranks, leaf
+        self.merged = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.matches = regex.compile(pattern).findall
         self.names = {rank: token for token, rank in ranks.items()}
         self.pairs = tokens.Cached(self._stable)
         self.matched = tokens.Cached(lambda match: self.encode_match(match.encode()))
         self.known = tokens.Cached(lambda piece: [t for match in self.matches(piece) for t in self.matched[match]])
 
-    def merged(self, data: bytes) -> list[int]:
-        """Merge the adjacent two of lowest joint rank, leftmost first, until no two have one."""
-        ranks, none = self.ranks, 1 << 60
-        parts = [data[i : i + 1] for i in range(len(data))]
-        joint = [ranks.get(data[i : i + 2], none) for i in range(len(data) - 1)]
-        while joint:
-            best = min(joint)
-            if best == none:
-                break
-            i = joint.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del joint[i]
-            if i < len(joint):
-                joint[i] = ranks.get(parts[i] + parts[i + 1], none)
-            if i:
-                joint[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-        return [ranks[p] for p in parts]
-
     def _stable(self, pair: tuple[int, int]) -> bool:
         return self.merged(self.names[pair[0]] + self.names[pair[1]]) == list(pair)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to a Python worker. One longer row still makes a batch of its own.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def session(df: DataFrame) -> SparkSession:

@@ -28,23 +28,12 @@ def encoded_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int =
     """Cut each document's ids, end_id after them, into pieces of at most capacity ids."""
 
     def cut(batches):
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(tokenizer)
-        tok.encode_special_tokens = True
-        known: dict[bytes, bytes] = {}
+        known = tokens.Cached(tokens.WordEncoder(tokenizer).word)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
-            words = [x.split() for x in common.byte_texts(batch.column(1))]
-            if len(known) > tokens.CACHE:
-                known.clear()
-            new = list({w for ws in words for w in ws if w not in known})
-            for at in range(0, len(new), 20_000):
-                for w, e in zip(new[at : at + 20_000], tok.encode_batch_fast([w.decode() for w in new[at : at + 20_000]], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
             out: list[tuple] = []
-            for doc_id, ws in zip(batch.column(0).to_pylist(), words, strict=True):
-                ids = b"".join([known[w] for w in ws]) + end
+            for doc_id, text in zip(batch.column(0).to_pylist(), common.byte_texts(batch.column(1)), strict=True):
+                ids = b"".join(map(known.__getitem__, text.split())) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))

@@ -11,7 +11,7 @@ import re
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _ODD = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
 
-CACHE = 400_000
+CACHE = 300_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -54,3 +54,53 @@ class Cached(dict):
             self.clear()
         self[piece] = value = self.make(piece)
         return value
+
+
+class WordEncoder:
+    """Ids of a tokenizer file with lower-cased words, byte symbols and word-end suffix, as little-endian bytes.
+
+    The library reads the file and encodes every word with letters beyond Latin. Words of Latin letters, whose
+    normalization is lower case alone, are merged by ranks instead, which is much faster: a merged symbol's id grows
+    with its merge's place, and every symbol's own bytes encode to itself, from which follows that merging the adjacent
+    two of least joint id gives the library's ids (the tests check both for the file)."""
+
+    #: Stands for the word end; no UTF-8 text has this byte.
+    END = b"\xff"
+
+    def __init__(self, path: str):
+        import json
+
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.matches = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+").findall
+        ranks = symbols(spec)
+        ranks.setdefault(self.END, len(spec["model"]["vocab"]) + 10)
+        self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.latin = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+").fullmatch
+
+    def word(self, word: bytes) -> bytes:
+        """The ids of a word without white space."""
+        import array
+
+        text = word.decode()
+        if self.latin(text):
+            return array.array("I", [i for m in self.matches(text.lower()) for i in self.merge(m.encode() + self.END)]).tobytes()
+        return array.array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+def symbols(spec: dict) -> dict[bytes, int]:
+    """Symbols of a byte-level vocabulary with word ends as bytes, END for the suffix."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    signs = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+    out, suffix = {}, spec["model"]["end_of_word_suffix"]
+    special = {t["content"] for t in spec["added_tokens"]}
+    for symbol, i in spec["model"]["vocab"].items():
+        if symbol not in special:
+            body = symbol.removesuffix(suffix)
+            out[bytes(signs[c] for c in body) + WordEncoder.END * (body != symbol)] = i
+    return out
