@@ -20,8 +20,9 @@ from . import common, labelled
 LENGTHS = (3, 4, 5)
 BITS = 18
 LOT = 1 << 20
-#: Labelled documents that the regression is fitted on at most, and those that must have a feature for it to count.
-SAMPLE_ROWS, LEAST_DOCS = 6000, 3
+#: Labelled documents that the regression is fitted on at most, those that must have a feature for it to count, and
+#: standard errors that its log ratio must differ from zero by.
+SAMPLE_ROWS, LEAST_DOCS, LEAST_Z = 6000, 3, 4.0
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,9 +68,13 @@ def document_counts(rows: DataFrame) -> np.ndarray:
 
 
 def log_ratios(counts: np.ndarray) -> np.ndarray:
-    """Per feature, log of its smoothed part among class 1 over that among class 0; zero for rare features."""
-    part = (counts[:, :-1] + 1) / (counts[:, -1:] + 2)
-    return np.where(counts[:, :-1].sum(0) >= LEAST_DOCS, np.log(part[1] / part[0]), 0.0)
+    """Per feature, log of its smoothed part among class 1 over that among class 0; zero for features that are rare or
+    whose ratio is within LEAST_Z of its own standard errors."""
+    n = counts[:, :-1]
+    part = (n + 1) / (counts[:, -1:] + 2)
+    ratio = np.log(part[1] / part[0])
+    sure = np.abs(ratio) >= LEAST_Z * np.sqrt((1 / (n + 1)).sum(0))
+    return np.where((n.sum(0) >= LEAST_DOCS) & sure, ratio, 0.0)
 
 
 def fit(found: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, rounds: int = 8, rate: float = 0.3, decay: float = 1e-5) -> tuple[np.ndarray, float]:
