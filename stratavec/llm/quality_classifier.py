@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common, labelled, tokens
 
-WORDS, SHAPES, DIM, NONZERO, REACH = 1 << 14, 1 << 9, 32, 2, 2
+WORDS, SHAPES, DIM, NONZERO, REACH = 1 << 14, 1 << 9, 16, 2, 2
 ENTRIES = WORDS + SHAPES
 #: Words taken at once.
 LOT = 200_000
@@ -35,14 +35,19 @@ def _shape(text: str) -> str:
         kind = "X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c
         if kind != out[-1:]:
             out += kind
-    return out[:8]
+            if len(out) == 8:
+                break
+    return out
 
 
 def entry(word: bytes) -> int:
     """Both entries of a word in one number."""
     text = word.decode("utf-8", "replace")
-    letters = "".join(c for c in text.lower() if c.isalpha())
-    return (zlib.crc32(letters.encode()) % WORDS) * SHAPES + zlib.crc32(_shape(text).encode()) % SHAPES
+    if text.islower() and text.isalpha():
+        letters, shape = text, "x"  # as below, for most words
+    else:
+        letters, shape = "".join(filter(str.isalpha, text.lower())), _shape(text)
+    return (zlib.crc32(letters.encode()) % WORDS) * SHAPES + zlib.crc32(shape.encode()) % SHAPES
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, packing, quality_classifier, quality_rules, simhash, token_counts, tokens, topk, toxicity, warc
+from . import bpe, common, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, tokens, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(_read(spark, sf_dir, "documents"), tokens.tokenizer_path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(_read(spark, sf_dir, "documents"), length=100)
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantized(_read(spark, sf_dir, "embeddings"), 256)
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -54,7 +58,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_toxicity, op3_simhash_near_dedup, op4_warc, op5_token_counts, op6_quality_rules, op7_byte_bpe,
-        op9_exact_top_k, op10_quality_classifier,
+        op8_suffix_array_dedup, op9_exact_top_k, op10_quality_classifier,
     )
 }
 SQL: dict[str, str] = {"op4_warc": warc.SQL, "op6_quality_rules": quality_rules.SQL, "op9_exact_top_k": topk.SQL}

@@ -1,9 +1,9 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 A document's features are the distinct n-grams of its lower-cased text, hashed into a fixed table. Each has the log
-ratio of the parts of toxic and other labelled documents that contain it, counted over all labelled documents outside
-the held-out fold. A logistic regression on these ratios, over the root of the number of features, is fitted on at most
-sample_rows of them.
+ratio of the parts of toxic and other labelled documents that contain it. A logistic regression on these ratios, over
+the root of the number of features, is fitted to the labels. Both use the same sample: at most sample_rows labelled
+documents outside the held-out fold, chosen by a hash of their ids, whatever the size of the corpus.
 
 Every whole text is scored, null as empty: with no features, the intercept's score. Without labels of both classes the
 score is constant, 1 if all are toxic, else 0. Repeated rows are scored alike; a null doc_id isn't held out."""
@@ -20,9 +20,9 @@ from . import common, labelled
 LENGTHS = (3, 4, 5)
 BITS = 18
 LOT = 1 << 20
-#: Labelled documents that the regression is fitted on at most, those that must have a feature for it to count, and
-#: standard errors that its log ratio must differ from zero by.
-SAMPLE_ROWS, LEAST_DOCS, LEAST_Z = 6000, 3, 4.0
+#: Labelled documents to learn from at most, those that must have a feature for it to count, and standard errors that
+#: its log ratio must differ from zero by.
+SAMPLE_ROWS, LEAST_DOCS, LEAST_Z = 16_000, 3, 4.0
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,8 +106,8 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, in_train: Column, sample_rows: int = SAMPLE_ROWS) -> Model:
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & in_train).select("doc_id", F.col(label).cast("int").alias("y"))
-    counts = document_counts(docs.select("doc_id", "text").join(known.groupBy("doc_id").agg(F.max("y").alias("y")), "doc_id"))
+    some = labelled.sample(docs, labels, label, in_train, sample_rows).select("doc_id", "text", "y")
+    counts = document_counts(some)
     none = np.zeros(1 << BITS)
     if not counts[:, -1].all():
         return Model(none, none != 0, 30.0 if counts[1, -1] else -30.0)
@@ -120,7 +120,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str, in_train: Column, samp
             found = [features(t) for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array([f[used[f]].astype("<u4").tobytes() for f in found], pa.binary())], ["doc_id", "y", "f"])
 
-    some = labelled.sample(docs, labels, label, in_train, sample_rows).select("doc_id", "text", "y")
     got = some.mapInArrow(extract, f"doc_id {dict(docs.dtypes)['doc_id']}, y int, f binary").toArrow().sort_by("doc_id")
     y = got["y"].to_numpy()
     if len(y) == 0 or y.min() == y.max():
