@@ -10,6 +10,7 @@ Null texts count as empty: no tokens. Repeated rows are encoded each."""
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import pyarrow as pa
@@ -78,12 +79,18 @@ class Encoder:
         return runs[0] if runs else b""
 
 
+@functools.cache
+def encoder_of(ranks_path: str) -> Encoder:
+    """Made once in a worker, whatever its tasks."""
+    return Encoder(tokens.read_ranks(ranks_path), tokens.pattern())
+
+
 def encoded(docs: DataFrame, ranks_path: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), with_ids also the ids, of every whole text: ids_sha256 of the
     decimal ids joined by commas, decoded_sha256 of the bytes that the ids decode to."""
 
     def run(batches):
-        encoder = Encoder(tokens.read_ranks(ranks_path), tokens.pattern())
+        encoder = encoder_of(ranks_path)
         digits = list(map(str, range(max(encoder.names) + 1)))
         for batch in batches:
             out = []
@@ -103,7 +110,7 @@ def decoded(rows: DataFrame, ranks_path: str) -> DataFrame:
     """(doc_id, data binary) from rows (doc_id, ids array<int>); null ids decode to nothing."""
 
     def run(batches):
-        encoder = Encoder(tokens.read_ranks(ranks_path), tokens.pattern())
+        encoder = encoder_of(ranks_path)
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([encoder.decode(x or []) for x in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "data"])
 

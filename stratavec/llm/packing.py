@@ -28,7 +28,7 @@ def encoded_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int =
     """Cut each document's ids, end_id after them, into pieces of at most capacity ids."""
 
     def cut(batches):
-        known = tokens.Cached(tokens.WordEncoder(tokenizer).word)
+        known = tokens.word_ids(tokenizer)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             out: list[tuple] = []

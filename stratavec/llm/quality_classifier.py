@@ -11,6 +11,7 @@ constant, 0 if all are bad, else 1. Repeated rows are scored alike; a null doc_i
 
 from __future__ import annotations
 
+import functools
 import zlib
 from dataclasses import dataclass
 
@@ -56,6 +57,12 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return np.array([rng.choice(DIM, NONZERO, replace=False) for _ in range(ENTRIES)]), rng.integers(0, 2, (ENTRIES, NONZERO))
 
 
+@functools.cache
+def known_entries() -> tokens.Cached:
+    """Entries of words; made once in a worker, whatever its tasks."""
+    return tokens.Cached(entry)
+
+
 def _entries(words: list[bytes], known: tokens.Cached) -> tuple[np.ndarray, np.ndarray]:
     both = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
     return both // SHAPES, both % SHAPES + WORDS
@@ -90,7 +97,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
     def count(batches):
         places, signs = index_vectors()
-        known, total = tokens.Cached(entry), np.zeros(ENTRIES * DIM * 2, np.int64)
+        known, total = known_entries(), np.zeros(ENTRIES * DIM * 2, np.int64)
         for batch in batches:
             for lot in _lots(common.byte_texts(batch.column(0))):
                 words, shapes = _entries([w for _, ws in lot for w in ws], known)
@@ -198,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, in_train: Column, sample_rows: int
     vectors = word_vectors(docs)
 
     def extract(batches):
-        known = tokens.Cached(entry)
+        known = known_entries()
         for batch in batches:
             x = pooled(common.byte_texts(batch.column(1)), vectors, known)
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"])
@@ -215,7 +222,7 @@ def scored(docs: DataFrame, vectors: np.ndarray, network: Network | float) -> Da
     """Every column of docs is kept in _row; score and predicted are added."""
 
     def run(batches):
-        known = tokens.Cached(entry)
+        known = known_entries()
         for batch in batches:
             texts = common.byte_texts(batch.column("text"))
             found = np.full(len(texts), network) if isinstance(network, float) else network.scores(pooled(texts, vectors, known))

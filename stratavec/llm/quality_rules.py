@@ -112,10 +112,9 @@ def _measure(sample: DataFrame, rule: Rule) -> tuple[float, float]:
 
 
 def ordered(docs: DataFrame, found: list[Rule], sample_rows: int = 1000, fraction: float = 0.02) -> list[Rule]:
-    """The rules by rejections per cost, as estimated on a sample of measured documents. The time of a rule that does
+    """The rules by rejections per cost, as estimated on a sample of the documents (text). The time of a rule that does
     nothing is taken off each cost."""
-    columns = ["text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines"]
-    sample = common.keep(docs.select(*columns).sample(fraction, seed=7).limit(sample_rows), "sample")
+    sample = common.keep(measured(docs.select("text").sample(fraction, seed=7).limit(sample_rows)), "sample")
     nothing = Rule("nothing", F.length("text") < 0)
     _measure(sample, nothing)
     idle, _ = _measure(sample, nothing)
@@ -135,10 +134,9 @@ def verdict(found: list[Rule]) -> Column:
     return case.otherwise(True)
 
 
-def judged(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with their measures, base_failed and kept."""
-    out = measured(docs.withColumnRenamed(text, "text") if text != "text" else docs)
-    return out.withColumn("kept", verdict(ordered(out, rules())))
+def judged(docs: DataFrame) -> DataFrame:
+    """The documents (..., text) with their measures, base_failed and kept."""
+    return measured(docs).withColumn("kept", verdict(ordered(docs, rules())))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

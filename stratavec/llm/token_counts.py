@@ -9,6 +9,8 @@ ordinary text. An empty table has an empty histogram."""
 
 from __future__ import annotations
 
+import functools
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,14 +20,20 @@ from . import common, tokens
 BLOCK = 512
 
 
+@functools.cache
+def _lengths(tokenizer: str) -> tokens.Cached:
+    """Lengths of pieces; made once in a worker, whatever its tasks."""
+    import tiktoken
+
+    encode = tiktoken.Encoding("ranks", pat_str=tokens.pattern(), mergeable_ranks=tokens.read_ranks(tokenizer), special_tokens={}).encode_ordinary
+    return tokens.Cached(lambda piece: len(encode(piece)))
+
+
 def with_lengths(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """One row (n_tokens) per document: the length of its whole text in tokens of the rank file at tokenizer."""
 
     def count(batches):
-        import tiktoken
-
-        encode = tiktoken.Encoding("ranks", pat_str=tokens.pattern(), mergeable_ranks=tokens.read_ranks(tokenizer), special_tokens={}).encode_ordinary
-        lengths = tokens.Cached(lambda piece: len(encode(piece)))
+        lengths = _lengths(tokenizer)
         for batch in batches:
             found = [sum(map(lengths.__getitem__, tokens.pieces(x or ""))) for x in batch.column(0).to_pylist()]
             yield pa.record_batch([pa.array(found, pa.int64())], ["n_tokens"])

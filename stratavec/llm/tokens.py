@@ -5,6 +5,7 @@ The bounded caches live in the worker; emptying them when full costs time, never
 from __future__ import annotations
 
 import base64
+import functools
 import re
 
 #: Spaces between other signs, after which the pattern's matches always begin anew.
@@ -26,6 +27,7 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+@functools.cache
 def read_ranks(path: str) -> dict[bytes, int]:
     """Ranks of a file with one base64 token and its rank a line."""
     with open(path, "rb") as file:
@@ -93,6 +95,12 @@ class WordEncoder:
         return array.array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
 
+@functools.cache
+def word_ids(path: str) -> Cached:
+    """Ids of words by a tokenizer file; made once in a worker, whatever its tasks."""
+    return Cached(WordEncoder(path).word)
+
+
 def symbols(spec: dict) -> dict[bytes, int]:
     """Symbols of a byte-level vocabulary with word ends as bytes, END for the suffix."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
