@@ -20,9 +20,6 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-#: Pieces of one length that are numbered in one group.
-PER_GROUP = 20_000
-
 
 def encoded_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Cut each document's ids, end_id after them, into pieces of at most capacity ids."""
@@ -105,10 +102,10 @@ def places(steps: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def numbered(pieces: DataFrame, per_group: int = PER_GROUP) -> DataFrame:
-    """Add number: 0, 1, ... among the pieces of one length. A frequent length is numbered in many groups, whose first
-    numbers are sums over the groups' counts."""
-    many = pieces.groupBy("length").agg(F.expr(f"cast(ceil(count(*) / {per_group}) as long)").alias("groups"))
+def numbered(pieces: DataFrame) -> DataFrame:
+    """Add number: 0, 1, ... among the pieces of one length. n pieces of a length are numbered in about root n groups,
+    whose first numbers are sums over the counts of as many groups, so neither step holds a frequent length whole."""
+    many = pieces.groupBy("length").agg(F.ceil(F.sqrt(F.count("*"))).cast("long").alias("groups"))
     many = F.broadcast(many)  # a row for each length that occurs, no more than the capacity
     pieces = pieces.join(many, "length").withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "groups")).drop("groups")
     before = Window.partitionBy("length").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
