@@ -56,7 +56,9 @@ def n_lines(text: Column) -> Column:
 def n_repeat_words(words: Column) -> Column:
     """Words that lie in a window of five words that the text has at least twice. Texts without such a window, which
     are most, cost one pass over the hashes; only others sort them with their places."""
-    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.xxhash64(*[words[i + k] for k in range(WINDOW)]))
+
+    def hashes(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[w[i + k] for k in range(WINDOW)]))
 
     def places(found: Column) -> Column:
         ordered = F.array_sort(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -68,7 +70,8 @@ def n_repeat_words(words: Column) -> Column:
         return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
     count = lambda found: F.when(F.size(F.array_distinct(found)) == F.size(found), 0).otherwise(_let(places(found), covered))
-    return F.when(F.size(words) < WINDOW, 0).otherwise(_let(hashes, count)).cast("long")
+    # Bound here, so that the optimizer can't move the splitting of the text into the lambdas.
+    return _let(words, lambda w: F.when(F.size(w) < WINDOW, 0).otherwise(_let(hashes(w), count))).cast("long")
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:

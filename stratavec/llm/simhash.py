@@ -79,7 +79,7 @@ def _mixed(h: np.ndarray, plane: int) -> np.ndarray:
     """The shingle hashes themselves for plane 0, other 64 bits made of them for each further plane."""
     if not plane:
         return h
-    h = h + np.uint64(plane) * np.uint64(0x9E3779B97F4A7C15)
+    h = h + np.uint64(plane * 0x9E3779B97F4A7C15 % (1 << 64))
     h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
     return h ^ h >> np.uint64(31)
