@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of one Arrow batch handed to a Python worker. One longer row still makes a batch of its own.
 BATCH_BYTES = 4 << 20
@@ -36,6 +37,16 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def with_fields(df: DataFrame, *more: tuple[str, str]) -> T.StructType:
+    """The frame's schema and further fields (name, type), whatever the names are."""
+    return T.StructType([*df.schema.fields, *[T.StructField(n, T._parse_datatype_string(t)) for n, t in more]])
+
+
+def wrapped(docs: DataFrame, *columns: str) -> DataFrame:
+    """All of a row's columns in one struct _row, and the named columns beside it, so that no other name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *columns)
+
+
 def keep(df: DataFrame, label: str = "table") -> DataFrame:
     """Write the frame to the shared folder and read it again: lineage ends there, lost executors lose nothing,
     and joins on the copy start from a plain scan, which lets adaptive execution split skewed keys."""

@@ -138,8 +138,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
             yield pa.record_batch([*kept, pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     names = pieces.columns
-    kinds = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes)
-    return numbered(pieces).select(*names, "number").mapInArrow(put, f"{kinds}, sequence_id long, offset long")
+    return numbered(pieces).select(*names, "number").mapInArrow(put, common.with_fields(pieces, ("sequence_id", "long"), ("offset", "long")))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:

@@ -219,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, in_train: Column, sample_rows: int
 
 
 def scored(docs: DataFrame, vectors: np.ndarray, network: Network | float) -> DataFrame:
-    """Every column of docs is kept in _row; score and predicted are added."""
+    """The documents with _score and _predicted."""
 
     def run(batches):
         known = known_entries()
@@ -230,8 +230,7 @@ def scored(docs: DataFrame, vectors: np.ndarray, network: Network | float) -> Da
 
     common.session(docs)
     names = docs.columns
-    kinds = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{kinds}, _score double, _predicted int")
+    return docs.mapInArrow(run, common.with_fields(docs, ("_score", "double"), ("_predicted", "int")))
 
 
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -244,4 +243,4 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, s
 def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents predicted good, with their own columns."""
     vectors, network = train(docs, labels, labelled.remainder(F.col("doc_id"), folds) != held, sample_rows)
-    return scored(docs, vectors, network).where("_predicted = 1").drop("_score", "_predicted")
+    return scored(common.wrapped(docs, "text"), vectors, network).where("_predicted = 1").select("_row.*")

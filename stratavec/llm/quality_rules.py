@@ -145,8 +145,7 @@ def judged(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns. The measures live in one added struct, so no column of docs,
     whatever its name, is lost."""
-    bare = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    return judged(bare).where("kept").select("_row.*")
+    return judged(common.wrapped(docs, "text")).where("kept").select("_row.*")
 
 
 SQL = r"""

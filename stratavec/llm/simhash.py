@@ -238,9 +238,9 @@ def _with_components(rows: DataFrame, distinct: DataFrame, edges: DataFrame) ->
 
 def most_bits(similarity: float, bits: int) -> int:
     """Differing bits up to which shingle sets of that Jaccard similarity link: what random hyperplanes expect at its
-    cosine 2s / (1 + s), and one and a half standard deviations."""
+    cosine 2s / (1 + s), and two standard deviations."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + 1.5 * np.sqrt(bits * p * (1 - p)))
+    return int(bits * p + 2 * np.sqrt(bits * p * (1 - p)))
 
 
 def linked_by_similarity(docs: DataFrame, words: int = 5, similarity: float = 0.8, planes: int = 4, tables: int = 96, exact: int = 7) -> DataFrame:

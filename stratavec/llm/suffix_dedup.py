@@ -432,8 +432,7 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def shortened(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, with their own columns, without the repeated bytes; a character that loses a byte goes whole.
     n_chars, where there is one, is counted anew."""
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
-    keyed = _keyed(row)
+    keyed = _keyed(common.wrapped(docs, "doc_id", "text"))
     spans = _by_row(repeated_spans(keyed.select("doc", "tag", "text"), length), ["start", "stop"])
 
     def apply(batches):
@@ -448,7 +447,7 @@ def shortened(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(out, pa.string())], schema=pa.schema([batch.schema.field("_row"), pa.field("_text", pa.string())]))
 
     joined = keyed.join(spans, ["doc", "tag"], "left").select("_row", "text", "found")
-    done = joined.mapInArrow(apply, f"_row {dict(row.dtypes)['_row']}, _text string")
+    done = joined.mapInArrow(apply, common.with_fields(joined.select("_row"), ("_text", "string")))
     new = {"text": F.when(F.col("_row.text").isNotNull(), F.col("_text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("_row.n_chars").isNotNull(), F.length("_text")).cast(dict(docs.dtypes)["n_chars"])
