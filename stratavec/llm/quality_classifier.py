@@ -51,10 +51,11 @@ def entry(word: bytes) -> int:
     return (zlib.crc32(letters.encode()) % WORDS) * SHAPES + zlib.crc32(shape.encode()) % SHAPES
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the nonzero components of each entry's random index vector."""
+def index_codes() -> list[np.ndarray]:
+    """For each nonzero component of the entries' random index vectors, twice its place, plus one if it is negative."""
     rng = np.random.default_rng(10)
-    return np.array([rng.choice(DIM, NONZERO, replace=False) for _ in range(ENTRIES)]), rng.integers(0, 2, (ENTRIES, NONZERO))
+    places = np.array([rng.choice(DIM, NONZERO, replace=False) for _ in range(ENTRIES)])
+    return list((2 * places + rng.integers(0, 2, places.shape)).T)
 
 
 @functools.cache
@@ -68,13 +69,16 @@ def _entries(words: list[bytes], known: tokens.Cached) -> tuple[np.ndarray, np.n
     return both // SHAPES, both % SHAPES + WORDS
 
 
-def _accumulate(total: np.ndarray, words: np.ndarray, shapes: np.ndarray, doc: np.ndarray, places: np.ndarray, signs: np.ndarray) -> None:
-    """Add to each entry the index vectors of the entries up to REACH words from it in its document."""
+def _accumulate(total: np.ndarray, words: np.ndarray, shapes: np.ndarray, doc: np.ndarray, codes: list[np.ndarray]) -> None:
+    """Add to each entry the index vectors of the entries up to REACH words from it in its document. The last bin of
+    total takes pairs that lie in two documents."""
+    targets = [ids * (2 * DIM) for ids in (words, shapes)]
+    signed = [code[ids] for ids in (words, shapes) for code in codes]
     for away in range(1, min(REACH, len(doc) - 1) + 1):
-        near = np.flatnonzero(doc[away:] == doc[:-away])
-        for a, b in ((near, near + away), (near + away, near)):
-            bins = [(target[a] * DIM + places[context[b], k]) * 2 + signs[context[b], k] for target in (words, shapes) for context in (words, shapes) for k in range(NONZERO)]
-            total += np.bincount(np.concatenate(bins), minlength=len(total))
+        apart = doc[away:] != doc[:-away]
+        bins = np.concatenate([one for t in targets for c in signed for one in (t[:-away] + c[away:], t[away:] + c[:-away])]).reshape(-1, len(apart))
+        bins[:, apart] = len(total) - 1
+        total += np.bincount(bins.ravel(), minlength=len(total))
 
 
 def _lots(texts: list[bytes]):
@@ -96,13 +100,13 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """A vector of length one for each entry, over all documents; entries rarely seen are shorter."""
 
     def count(batches):
-        places, signs = index_vectors()
-        known, total = known_entries(), np.zeros(ENTRIES * DIM * 2, np.int64)
+        codes = index_codes()
+        known, total = known_entries(), np.zeros(ENTRIES * DIM * 2 + 1, np.int64)
         for batch in batches:
             for lot in _lots(common.byte_texts(batch.column(0))):
                 words, shapes = _entries([w for _, ws in lot for w in ws], known)
-                _accumulate(total, words, shapes, np.repeat([d for d, _ in lot], [len(ws) for _, ws in lot]), places, signs)
-        sums = (total[0::2] - total[1::2]).reshape(ENTRIES, DIM)
+                _accumulate(total, words, shapes, np.repeat([d for d, _ in lot], [len(ws) for _, ws in lot]), codes)
+        sums = (total[:-1:2] - total[1::2]).reshape(ENTRIES, DIM)
         some = np.flatnonzero(sums.any(1))
         yield pa.record_batch([pa.array(some.astype(np.int32)), *[pa.array(sums[some, k]) for k in range(DIM)]], ["e", *[f"c{k}" for k in range(DIM)]])
 
