@@ -25,7 +25,7 @@ from . import common, labelled, tokens
 WORDS, SHAPES, DIM, NONZERO, REACH = 1 << 14, 1 << 9, 16, 2, 2
 ENTRIES = WORDS + SHAPES
 #: Words taken at once.
-LOT = 200_000
+LOT = 100_000
 SAMPLE_ROWS = 16_000
 HIDDEN = 32
 
