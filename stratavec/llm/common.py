@@ -127,7 +127,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     if mark[0] == 0:
         return now
     for _ in range(rounds):
-        now = keep(_small_star(_large_star(now)), "edges")
+        now = keep(_small_star(keep(_large_star(now), "edges")), "edges")
         before, mark = mark, _grown(now)
         if mark == before:
             return now

@@ -228,10 +228,11 @@ def linked_by_distance(docs: DataFrame, words: int = 3, distance: int = 2) -> Da
 
 
 def _with_components(rows: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
-    """Add component_id to rows (..., id) from distinct (id, least) and the edges between ids."""
+    """Add component_id to rows (..., id) from distinct (id, least) and the edges between ids. Each join starts from
+    written tables, so that a large component is split."""
     roots = common.components(edges)
-    named = distinct.join(roots, distinct["id"] == roots["u"], "left").select("id", "least", F.coalesce("v", "id").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = common.keep(distinct.join(roots, distinct["id"] == roots["u"], "left").select("id", "least", F.coalesce("v", "id").alias("root")), "roots")
+    least = common.keep(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     owner = common.keep(named.join(least, "root").select("id", "component_id"), "components")
     return rows.join(owner, "id")
 
