@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.hashing import order_key, uniform
-from .kmeans import lloyd
+from .kmeans import first_rows, lloyd
 
 
 def nearest_divisor(dim: int, wanted: int) -> int:
@@ -118,17 +118,30 @@ class Codebook:
         return cls(tuple(map(tuple, a)), tuple(tuple(map(tuple, book)) for book in b), None if c is None else tuple(map(tuple, c)))
 
 
+def _moved(points: DataFrame, book: Codebook) -> list[np.ndarray]:
+    """The mean part of each centroid's points, in all subspaces by one aggregation; the old centroid where it has none."""
+    width = max(n for _, n in book.splits)
+    part = lambda t, m: F.struct(F.lit(m).alias("m"), vectors.let(book._distances(t, m, True), vectors.argmin).alias("code"), vectors.sub_vector(t, *book.splits[m]).alias("x"))
+    parts = points.select(F.explode(vectors.let(book.turned(F.col("v")), lambda t: F.array(*[part(t, m) for m in range(len(book.splits))]))).alias("p")).select("p.*")
+    new = [np.array(c, float) for c in book.centroids]
+    for r in parts.groupBy("m", "code").agg(*[F.avg(F.get("x", F.lit(i))).alias(f"a{i}") for i in range(width)]).collect():  # a row a centroid
+        new[r.m][r.code] = [r[f"a{i}"] for i in range(book.splits[r.m][1])]
+    return new
+
+
 def train(points: DataFrame, dim: int, subspaces: int = 8, centroids: int = 256, steps: int = 5, seed: int = 42, exact: bool = True, rotation: np.ndarray | None = None) -> Codebook:
-    """Lloyd steps in each subspace from the hash-first rows (id, v)."""
-    cut = splits(dim, subspaces, exact)
-    book = Codebook(tuple(cut), ((),) * len(cut), None if rotation is None else tuple(map(tuple, rotation.tolist())))
-    turned = points.select("id", book.turned(F.col("v")).alias("v"))
-    if rotation is not None:
-        turned = turned.cache()  # read steps times for each subspace
-    found = [lloyd(turned.select("id", vectors.sub_vector(F.col("v"), s, n).alias("v")), centroids, steps, seed) for s, n in cut]
-    if rotation is not None:
-        turned.unpersist()
-    return replace(book, centroids=tuple(tuple(map(tuple, c)) for c in found))
+    """Lloyd steps in all subspaces at once from the hash-first rows (id, v)."""
+    cut = tuple(splits(dim, subspaces, exact))
+    start = first_rows(points, centroids, seed)
+    start = start if rotation is None else start @ rotation.T
+    listed = lambda books: tuple(tuple(map(tuple, c.tolist())) for c in books)
+    book = Codebook(cut, listed([start[:, s : s + n] for s, n in cut]), None if rotation is None else tuple(map(tuple, rotation.tolist())))
+    for _ in range(steps):
+        new = listed(_moved(points, book))
+        if new == book.centroids:
+            break
+        book = replace(book, centroids=new)
+    return book
 
 
 def rotation(points: DataFrame, dim: int) -> np.ndarray:
@@ -198,16 +211,10 @@ def distance_preservation(points: DataFrame, book: Codebook, reach: int = 10) ->
 
 def calibrate(points: DataFrame, book: Codebook, epochs: int = 1, rate: float = 0.1) -> Codebook:
     """Move each centroid by rate towards the mean of its points, epoch by epoch."""
-    from .kmeans import means
-
     for _ in range(epochs):
-        moved = []
-        for m, (s, n) in enumerate(book.splits):
-            old = np.array(book.centroids[m])
-            part = points.select(vectors.argmin(book.distances(F.col("v"), m, True)).alias("label"), vectors.sub_vector(book.turned(F.col("v")), s, n).alias("v"))
-            new, _ = means(part, old)
-            moved.append(tuple(map(tuple, (old - rate * (old - new)).tolist())))
-        book = replace(book, centroids=tuple(moved))
+        old = [np.array(c, float) for c in book.centroids]
+        moved = [o - rate * (o - n) for o, n in zip(old, _moved(points, book), strict=True)]
+        book = replace(book, centroids=tuple(tuple(map(tuple, c.tolist())) for c in moved))
     return book
 
 
