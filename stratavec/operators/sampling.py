@@ -14,10 +14,21 @@ def _down(*order: Column | str) -> Window:
     return Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+#: Parts in which a stratum is ranked first, so that a large one isn't sorted in one task.
+SALTS = 64
+
+
+def first_of(rows: DataFrame, most: Column, keys: list[str], seed: int, id_: str = "id") -> DataFrame:
+    """The first `most` rows of each stratum by hash order, with rank: ranked in salted parts, then among what is left."""
+    order = [order_key(seed, F.col(id_)), F.col(id_)]
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(id_), F.lit(SALTS)))
+    some = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "salt").orderBy(*order))).where(F.col("rank") <= most).drop("salt", "rank")
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= most)
+
+
 def drawn(rows: DataFrame, quotas: DataFrame, keys: list[str], seed: int, id_: str = "id") -> DataFrame:
     """Of each stratum its quota of rows n, without replacement. Only strata with a quota are ranked."""
-    order = Window.partitionBy(*keys).orderBy(order_key(seed, F.col(id_)), id_)
-    return rows.join(quotas.where("n > 0"), keys).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("n")).drop("rank")
+    return first_of(rows.join(quotas.where("n > 0"), keys), F.col("n"), keys, seed, id_).drop("rank")
 
 
 def proportional_quotas(sizes: DataFrame, key: str, total: int) -> DataFrame:
@@ -88,8 +99,8 @@ def balanced_top_up(rows: DataFrame, key: str, total: int, seed: int = 42, id_:
     """max(1, total / strata) rows of each stratum, then random others up to total, cut at total."""
     each = F.greatest(F.lit(1), F.expr(f"cast({total} as bigint) div strata"))
     strata = F.broadcast(rows.agg(F.countDistinct(key).alias("strata")))  # one number
-    order = Window.partitionBy(key).orderBy(order_key(seed, F.col(id_)), id_)
-    ranked = rows.crossJoin(strata).withColumn("late", (F.row_number().over(order) > each).cast("int")).drop("strata")
+    # No stratum gives more than total rows altogether.
+    ranked = first_of(rows, F.lit(total), [key], seed, id_).crossJoin(strata).withColumn("late", (F.col("rank") > each).cast("int")).drop("strata", "rank")
     return ranked.orderBy("late", order_key(seed, F.col(id_)), id_).limit(total).drop("late")
 
 

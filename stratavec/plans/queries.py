@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.hashing import HashFamily, MultiWidth, bucket_key, collision_column
-from ..operators import ann, dbscan, estimators, gradient, kmeans, metrics, pq, sampling, tuning
+from ..operators import ann, dbscan, estimators, gradient, kmeans, metrics, pq, projection, sampling, tuning
 from ..sources import catalog
 from ..sources.vectors import read_packed
 
@@ -636,6 +636,12 @@ def gradient_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gradient.GradientKMeans(CLUSTERS, steps=5).fit(p).predict(p).select("id", "label")
 
 
+@query()
+def compressed_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-means on all numbers against its first principal components."""
+    return projection.compare_training(points(spark, sf_dir), DIM, CLUSTERS, count=8, steps=3)
+
+
 @query()
 def kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(metrics.k_sweep(points(spark, sf_dir), [2, 4], steps=2))

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from stratavec.functions import hashing, vectors
 from stratavec.functions.hashing import HashFamily
-from stratavec.operators import ann, dbscan, estimators, gradient, kmeans, metrics, pq, sampling, tuning
+from stratavec.operators import ann, dbscan, estimators, gradient, kmeans, metrics, pq, projection, sampling, tuning
 from stratavec.sources import vectors as sources
 from stratavec.sources.catalog import Engine
+from stratavec.sources.reports import Report
 from stratavec.streaming import ingest
 
 
@@ -252,3 +253,33 @@ def test_distances_by_name(spark):
     assert got == pytest.approx({"euclidean": 2**0.5, "manhattan": 2.0, "cosine": 1.0, "hamming": 1.0})
     with pytest.raises(ValueError):
         vectors.distance("none")
+
+
+def test_salted_ranks_are_the_plain_ones(spark):
+    rows = spark.range(2000).withColumn("k", (F.col("id") > 5).cast("int"))
+    got = {(r.k, r.id) for r in sampling.first_of(rows, F.lit(7), ["k"], 3).collect()}
+    plain = rows.toPandas()
+    import hashlib
+
+    plain["h"] = [hashlib.md5(f"3|{i}".encode()).hexdigest() for i in plain.id]
+    assert got == {(r.k, r.id) for _, g in plain.sort_values("h").groupby("k") for r in g.head(7).itertuples()}
+
+
+def test_principal_components(cloud, local):
+    x, _ = local
+    values, directions = np.linalg.eigh(np.cov(x.T))
+    top = projection.components(cloud, 8, 2)
+    assert np.allclose(np.abs(top @ directions[:, ::-1][:, :2]), np.eye(2), atol=1e-6)
+    row = projection.compare_training(cloud, 8, 3, count=3, steps=3).first()
+    assert row.reduced_inertia <= row.full_inertia * 1.5
+    assert row.agreement > 0.5
+
+
+def test_report(spark, tmp_path):
+    report = Report().add("pq", recall=0.5, mse=1.0).add("a<b", accuracy=0.25)
+    assert {(r.name, r.accuracy, r.recall) for r in report.table(spark).collect()} == {("pq", 0.5, 0.5), ("a<b", 0.25, 0.25)}
+    assert "a&lt;b" in report.html(spark)
+    report.write_json(spark, f"file://{tmp_path}/report")
+    assert spark.read.json(f"file://{tmp_path}/report").count() == 2
+    with pytest.raises(ValueError):
+        report.add("x", speed=1.0)
