@@ -550,12 +550,21 @@ def pq_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq.reconstruction_error(p, turned).withColumnRenamed("mse_row", "rotated").crossJoin(pq.reconstruction_error(p, book(spark, sf_dir)).select(F.col("mse_row").alias("plain"))).select("rotated", "plain")  # one row each
 
 
-@query()
+@query(
+    with_(
+        BOOK_SQL, lloyd_sql(1, 8, STEPS, "z"), "pb AS (SELECT q_id, zc.code AS cell FROM q, zc QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY list_distance(qv, zc.x), zc.code) <= 3)",
+        f"d AS (SELECT q.q_id, pl.id, sqrt(sum(pow({_PART}, 2))) AS dist FROM q JOIN pb USING (q_id) JOIN zl ON zl.code = pb.cell JOIN pl ON pl.id = zl.id JOIN pc ON pl.m = pc.m AND pl.code = pc.code WHERE q.q_id <> pl.id GROUP BY 1, 2)",
+    )
+    + "SELECT q_id, rn, dist FROM ("
+    + top("d")
+    + ")"
+)
 def pq_coarse_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search in each query's nearest cells only."""
     p, b = points(spark, sf_dir), book(spark, sf_dir)
     centres, cells = pq.coarse_cells(p, 8, STEPS)
-    return pq.cell_search(p, coded(spark, sf_dir, b).drop("v").join(cells, "id"), asked(spark, sf_dir), b, centres, n_probe=3)
+    found = pq.cell_search(p, coded(spark, sf_dir, b).drop("v").join(cells, "id"), asked(spark, sf_dir), b, centres, n_probe=3)
+    return rounded(found, "dist").select("q_id", "rn", "dist")
 
 
 @query()
@@ -582,14 +591,23 @@ def diffusion_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped.select("id", "m", vectors.l2(F.col("v"), found.pre_image()("m")).alias("pre_image_error"))
 
 
-@query()
+@query(
+    with_(
+        BOOK_SQL, DECODED, "t AS (SELECT q_id, id, list_distance(qv, v) AS dist FROM q, e WHERE q_id <> id)", "u AS (SELECT q_id, id, list_distance(qv, r) AS dist FROM q, dec WHERE q_id <> id)",
+        f"a AS ({top('t', 5)}), b AS ({top('u', 5)}), x AS (SELECT a.q_id, count(b.id) / 5.0 AS r FROM a LEFT JOIN b ON a.q_id = b.q_id AND a.id = b.id GROUP BY 1)",
+    )
+    + f"SELECT (SELECT round(avg(r), 6) FROM x) AS recall, round(avg(d2), 6) AS mse_row, round(avg(d2) / {DIM}, 6) AS mse_element FROM (SELECT pow(list_distance(v, r), 2) AS d2 FROM e JOIN dec USING (id))"
+)
 def quantizer_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tuning.evaluate(points(spark, sf_dir), asked(spark, sf_dir), book(spark, sf_dir))
+    return rounded(tuning.evaluate(points(spark, sf_dir), asked(spark, sf_dir), book(spark, sf_dir)), "recall", "mse_row", "mse_element")
 
 
-@query()
+@query(
+    with_(BOOK_SQL, DECODED, "d AS (SELECT list_distance(v, r) AS d FROM e JOIN dec USING (id))", "w AS (SELECT min(d) AS a, (max(d) - min(d)) / 20 AS w FROM d)", "x AS (SELECT CAST(least(floor((d - a) / w), 19) AS INTEGER) AS bin, a, w FROM d, w)")
+    + "SELECT bin, round(min(a + bin * w), 6) AS low, round(min(a + (bin + 1) * w), 6) AS high, count(*) AS n FROM x GROUP BY 1"
+)
 def reconstruction_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tuning.error_histogram(points(spark, sf_dir), book(spark, sf_dir))
+    return rounded(tuning.error_histogram(points(spark, sf_dir), book(spark, sf_dir)), "low", "high")
 
 
 # -- clustering -----------------------------------------------------------------------------------------------------
@@ -701,7 +719,14 @@ def dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dbscan.dbscan(points(spark, sf_dir), EPS, MIN_SAMPLES)
 
 
-@query()
+@query(
+    with_(
+        EDGES, CORE, LABELS, "lb AS (SELECT e.id, v, coalesce(nb.cluster, bd.cluster) AS cluster FROM e LEFT JOIN nb ON nb.id = e.id LEFT JOIN bd ON bd.id = e.id)",
+        f"ce AS (SELECT cluster, list(a ORDER BY i) AS c FROM (SELECT cluster, i, avg(v[i]) AS a FROM lb, range(1, {DIM + 1}) AS t(i) WHERE cluster IS NOT NULL GROUP BY 1, 2) GROUP BY 1)",
+        "ne AS (SELECT id, cluster, list_distance(v, c) AS d FROM e, ce QUALIFY row_number() OVER (PARTITION BY id ORDER BY list_distance(v, c), cluster) = 1)",
+    )
+    + f"SELECT e.id, CAST(CASE WHEN d <= {EPS} THEN cluster ELSE 0 END AS INTEGER) AS cluster FROM e LEFT JOIN ne USING (id)"
+)
 def dbscan_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
     model = dbscan.DBSCAN(EPS, MIN_SAMPLES)
