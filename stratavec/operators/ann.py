@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.hashing import HashFamily
+from ..sources.scratch import keep
 
 #: Queries of one block of exact search.
 BLOCK = 1024
@@ -137,9 +138,9 @@ def overlap(truth: DataFrame, found: DataFrame, k: int) -> DataFrame:
 
 
 def with_density(points: DataFrame, key: Column, inverse: bool = True, eps: float = 1e-10) -> DataFrame:
-    """Add bucket_key, bucket_size and weight: 1 / (size + eps), or the size. Sizes are pre-aggregated and joined, so that
-    a bucket of any size is neither sorted nor held by one task."""
+    """Add bucket_key, bucket_size and weight: 1 / (size + eps), or the size. Sizes are pre-aggregated, written and joined,
+    so that a bucket of any size is neither sorted nor held by one task."""
     keyed = points.withColumn("bucket_key", key)
-    sizes = keyed.groupBy("bucket_key").agg(F.count("*").alias("bucket_size"))
+    sizes = keep(keyed.groupBy("bucket_key").agg(F.count("*").alias("bucket_size")), "sizes")
     out = keyed.join(sizes, "bucket_key")
     return out.withColumn("weight", 1 / (F.col("bucket_size") + eps) if inverse else F.col("bucket_size").cast("double"))

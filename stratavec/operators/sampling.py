@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key, uniform
+from ..sources.scratch import keep
 
 
 def _down(*order: Column | str) -> Window:
@@ -28,7 +29,7 @@ def first_of(rows: DataFrame, most: Column, keys: list[str], seed: int, id_: str
 
 def drawn(rows: DataFrame, quotas: DataFrame, keys: list[str], seed: int, id_: str = "id") -> DataFrame:
     """Of each stratum its quota of rows n, without replacement. Only strata with a quota are ranked."""
-    return first_of(rows.join(quotas.where("n > 0"), keys), F.col("n"), keys, seed, id_).drop("rank")
+    return first_of(rows.join(keep(quotas.where("n > 0"), "quotas"), keys), F.col("n"), keys, seed, id_).drop("rank")
 
 
 def proportional_quotas(sizes: DataFrame, key: str, total: int) -> DataFrame:
@@ -91,7 +92,7 @@ def density_sample(rows: DataFrame, key: str, weight: str, total: int, seed: int
     """Rows kept with the odds min(1, share of the bucket's weight x total / its size), by hash-uniform numbers."""
     buckets = rows.groupBy(key).agg(F.sum(weight).alias("w"), F.count("*").alias("c"))
     buckets = buckets.crossJoin(F.broadcast(buckets.agg(F.sum("w").alias("all"))))  # one number
-    odds = buckets.select(key, F.least(F.lit(1.0), F.col("w") / F.col("all") * total / F.col("c")).alias("fraction"))
+    odds = keep(buckets.select(key, F.least(F.lit(1.0), F.col("w") / F.col("all") * total / F.col("c")).alias("fraction")), "odds")
     return rows.join(odds, key).where(uniform(seed, F.col(id_)) < F.col("fraction"))
 
 
