@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import drop, keep, new_path, shared_folder
+
+__all__ = ["byte_texts", "components", "drop", "forest", "keep", "new_path", "parts_for", "release", "session", "shared_folder", "with_fields", "wrapped"]
+
 #: Bytes of one Arrow batch handed to a Python worker. One longer row still makes a batch of its own.
 BATCH_BYTES = 4 << 20
 
@@ -22,21 +23,6 @@ def session(df: DataFrame) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where it is unset, and then only in local mode, an own one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="stratavec-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 def with_fields(df: DataFrame, *more: tuple[str, str]) -> T.StructType:
     """The frame's schema and further fields (name, type), whatever the names are."""
     return T.StructType([*df.schema.fields, *[T.StructField(n, T._parse_datatype_string(t)) for n, t in more]])
@@ -47,25 +33,6 @@ def wrapped(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *columns)
 
 
-def keep(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write the frame to the shared folder and read it again: lineage ends there, lost executors lose nothing,
-    and joins on the copy start from a plain scan, which lets adaptive execution split skewed keys."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete kept tables that nothing will read again."""
-    for df in tables:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark's context cleaner delete shuffle files of finished jobs now, not at its next half-hourly round."""
     import gc
