@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from . import common, tokens
 
 #: Bytes up to which a half is merged at once.
-LEAF = 8
+LEAF = 16
 
 
 class Encoder:
@@ -34,22 +34,30 @@ class Encoder:
         self.matches = regex.compile(pattern).findall
         self.names = {rank: token for token, rank in ranks.items()}
         self.pairs = tokens.Cached(self._stable)
-        self.matched = tokens.Cached(lambda match: self.encode_match(match.encode()))
-        self.known = tokens.Cached(lambda piece: [t for match in self.matches(piece) for t in self.matched[match]])
+        # Strings and bytes, as the garbage collector never looks at them again, unlike as many lists.
+        self.matched = tokens.Cached(lambda match: ",".join(map(str, self.encode_match(match.encode()))))
+        self.spelled = tokens.Cached(lambda piece: ",".join([self.matched[match] for match in self.matches(piece)]))
+        self.said = tokens.Cached(lambda piece: self.decode(self._ids(self.spelled[piece])))
 
-    def _stable(self, pair: tuple[int, int]) -> bool:
-        return self.merged(self.names[pair[0]] + self.names[pair[1]]) == list(pair)
+    @staticmethod
+    def _ids(spelled: str) -> list[int]:
+        return list(map(int, spelled.split(","))) if spelled else []
+
+    def _stable(self, pair: int) -> bool:
+        """Whether two adjacent tokens, in one number, are the encoding of their bytes."""
+        left, right = pair >> 32, pair & 0xFFFFFFFF
+        return self.merged(self.names[left] + self.names[right]) == [left, right]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of what left and right encode, from their tokens."""
-        if not left or not right or self.pairs[left[-1], right[0]]:
+        if not left or not right or self.pairs[left[-1] << 32 | right[0]]:
             return left + right
         width = 1
         while True:
             a, b = max(0, len(left) - width), min(width, len(right))
             window = self.merged(b"".join(map(self.names.__getitem__, left[a:] + right[:b])))
-            before = not a or self.pairs[left[a - 1], window[0]]
-            after = b == len(right) or self.pairs[window[-1], right[b]]
+            before = not a or self.pairs[left[a - 1] << 32 | window[0]]
+            after = b == len(right) or self.pairs[window[-1] << 32 | right[b]]
             if before and after:
                 return left[:a] + window + right[b:]
             width *= 2
@@ -66,10 +74,13 @@ class Encoder:
         return [rank] if rank is not None else self.tree(data)
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for ids in map(self.known.__getitem__, tokens.pieces(text)):
-            out += ids
-        return out
+        return self._ids(self.spell(text)[0])
+
+    def spell(self, text: str) -> tuple[str, bytes]:
+        """A text's ids joined by commas, and what the ids decode to. Both are put together from the text's pieces, each of
+        which is encoded, and its ids decoded, once."""
+        found = tokens.pieces(text)
+        return ",".join(map(self.spelled.__getitem__, found)), b"".join(map(self.said.__getitem__, found))
 
     def decode(self, ids: list[int]) -> bytes:
         """Concatenate up the tree; its lowest level is joined in runs."""
@@ -91,13 +102,12 @@ def encoded(docs: DataFrame, ranks_path: str, with_ids: bool = False) -> DataFra
 
     def run(batches):
         encoder = encoder_of(ranks_path)
-        digits = list(map(str, range(max(encoder.names) + 1)))
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text or "")
-                joined = ",".join(map(digits.__getitem__, ids)).encode()
-                out.append((doc_id, len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest(), *([ids] if with_ids else [])))
+                ids, data = encoder.spell(text or "")
+                count = ids.count(",") + 1 if ids else 0
+                out.append((doc_id, count, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(data).hexdigest(), *([encoder._ids(ids)] if with_ids else [])))
             columns = zip(*out, strict=True) if out else [()] * (4 + with_ids)
             kinds = (batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids])

@@ -1,6 +1,6 @@
 """Whole texts cut at places where no token can cross, so that each distinct piece is tokenized once and looked up after.
 
-The bounded caches live in the worker; emptying them when full costs time, never results."""
+The bounded caches live in the worker; what they forget is made again."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ import re
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _ODD = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
 
-CACHE = 300_000
+CACHE = 200_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -45,16 +45,21 @@ def pieces(text: str) -> list[str]:
 
 
 class Cached(dict):
-    """What make(piece) gives, remembered for up to CACHE pieces."""
+    """What make(piece) gives, remembered for at least the last CACHE pieces made or used: when as many are held, they
+    become the older generation, from which those still used are taken over. No value may be None."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, piece):
+        value = self.older.get(piece)
+        if value is None:
+            value = self.make(piece)
         if len(self) >= CACHE:
+            self.older = self.copy()
             self.clear()
-        self[piece] = value = self.make(piece)
+        self[piece] = value
         return value
 
 
