@@ -231,12 +231,6 @@ def _context_type(length: int) -> np.dtype:
     return np.dtype([("key", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("shift", "<i4"), ("windows", "<i4"), ("bytes", "u1", (room,))])
 
 
-def _hash_each(rows: np.ndarray) -> np.ndarray:
-    """A hash of each row of bytes."""
-    table, odd, powers, _ = _constants()
-    return _mix((table[0][rows] * powers[1 : rows.shape[1] + 1]).sum(1, dtype=np.uint64))
-
-
 def contexts(text: bytes, found: list[dict], length: int = LENGTH) -> np.ndarray:
     """Halves of the contexts of a text's runs. In its half, a context is placed so that its anchor has the same offset
     in all of them; shift is the place of the first window. key is a hash of anchor and of the bytes common to all
