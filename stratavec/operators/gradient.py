@@ -11,7 +11,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vectors
 from .kmeans import assigned, first_rows, plus_plus
 
 
@@ -150,6 +149,3 @@ class GradientKMeans:
 
     def history_frame(self, spark) -> DataFrame:
         return spark.createDataFrame(self.history, "step int, loss double, change double, empty int")
-
-
-__all__ = ["GradientKMeans", "contrastive", "losses", "vectors"]
