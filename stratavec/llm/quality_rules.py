@@ -96,13 +96,13 @@ class Rule:
 
 def rules(text: str = "text") -> list[Rule]:
     """Fixed thresholds: at most a symbol in five words, words of 2 to 20 characters on average, at most 30 % of lines
-    repeated, at most 40 % capital letters, at most an exclamation mark in three words."""
+    repeated if more than two are (short prose may end as it began), at most 40 % capital letters, at most an exclamation mark in three words."""
     whole = F.coalesce(F.col(text), F.lit(""))
     return [
         Rule("capitals", 100 * F.regexp_count(whole, F.lit("\\p{Lu}")) > 40 * F.col("word_chars")),
         Rule("symbols", 5 * F.col("n_symbols") > F.col("n_words")),
         Rule("exclamations", 3 * (F.length(whole) - F.length(F.translate(whole, "!", ""))) > F.col("n_words")),
-        Rule("repeated lines", 100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
+        Rule("repeated lines", (F.col("n_dup_lines") > 2) & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines"))),
         Rule("word length", (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words"))),
     ]
 
@@ -163,7 +163,7 @@ m AS (SELECT doc_id, text, CAST(len(words) AS BIGINT) AS n_words, CAST(length(ar
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 100 * len(regexp_extract_all(text, '\p{Lu}')) > 40 * word_chars OR 5 * n_symbols > n_words
-    OR 3 * len(regexp_extract_all(text, '!')) > n_words OR 100 * n_dup_lines > 30 * n_lines
+    OR 3 * len(regexp_extract_all(text, '!')) > n_words OR n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines
     OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
 FROM b
 """
