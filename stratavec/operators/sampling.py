@@ -33,27 +33,26 @@ def drawn(rows: DataFrame, quotas: DataFrame, keys: list[str], seed: int, id_: s
 
 
 def proportional_quotas(sizes: DataFrame, key: str, total: int) -> DataFrame:
-    """(key, size, n, p): floor of the share and largest remainders, ties by key; n is at most the size. Strata are what
-    is ranked here, not rows."""
-    share = F.lit(total) * F.col("size") / F.col("all")
-    out = sizes.crossJoin(F.broadcast(sizes.agg(F.sum("size").alias("all"))))  # one number
-    out = out.withColumn("floor", F.floor(share)).withColumn("rest", share - F.floor(share))
-    left = F.lit(total) - F.sum("floor").over(Window.partitionBy())
-    place = F.row_number().over(Window.orderBy(F.desc("rest"), key))
-    n = F.least(F.col("floor") + (place <= left).cast("long"), F.col("size"))
-    return out.select(key, "size", n.alias("n"), (F.col("size") / F.col("all")).alias("p"))
+    """(key, size, n, p): floor of the share and largest remainders, ties by key; n is at most the size. There may be as
+    many strata as rows, so only those that get one more, fewer than total, are ordered."""
+    sizes = keep(sizes, "sizes")
+    rows = sizes.agg(F.sum("size")).first()[0] or 1
+    share = F.lit(total) * F.col("size") / F.lit(rows)
+    out = sizes.withColumn("floor", F.floor(share)).withColumn("rest", share - F.floor(share))
+    left = total - (out.agg(F.sum("floor")).first()[0] or 0)
+    more = out.orderBy(F.desc("rest"), key).limit(max(int(left), 0)).select(key, F.lit(1).alias("more"))
+    n = F.least(F.col("floor") + F.coalesce("more", F.lit(0)), F.col("size"))
+    return out.join(more, key, "left").select(key, "size", n.alias("n"), (F.col("size") / F.lit(rows)).alias("p"))
 
 
 def balanced_quotas(sizes: DataFrame, key: str, total: int) -> DataFrame:
     """(key, size, n, p): equal quotas capped by the sizes, one pass of one more in order of key for what is left."""
-    count = F.count("*").over(Window.partitionBy())
-    base = F.least(F.floor(F.lit(total) / count), F.col("size"))
-    out = sizes.withColumn("p", 1 / count).withColumn("base", base)
-    left = F.lit(total) - F.sum("base").over(Window.partitionBy())
-    can = (F.col("base") < F.col("size")).cast("long")
-    before = F.coalesce(F.sum(can).over(_down(key)), F.lit(0))
-    n = F.col("base") + F.when((can == 1) & (before < left), 1).otherwise(0)
-    return out.select(key, "size", n.alias("n"), "p")
+    sizes = keep(sizes, "sizes")
+    count = sizes.count() or 1
+    out = sizes.withColumn("base", F.least(F.lit(total // count), F.col("size")))
+    left = total - (out.agg(F.sum("base")).first()[0] or 0)
+    more = out.where("base < size").orderBy(key).limit(max(int(left), 0)).select(key, F.lit(1).alias("more"))
+    return out.join(more, key, "left").select(key, "size", (F.col("base") + F.coalesce("more", F.lit(0))).alias("n"), F.lit(1 / count).alias("p"))
 
 
 def stratified(rows: DataFrame, key: str, total: int, strategy: str = "proportional", seed: int = 42, id_: str = "id") -> DataFrame:
@@ -105,19 +104,21 @@ def balanced_top_up(rows: DataFrame, key: str, total: int, seed: int = 42, id_:
     return ranked.orderBy("late", order_key(seed, F.col(id_)), id_).limit(total).drop("late")
 
 
-def softmax(value: Column, temperature: float) -> Column:
-    """exp(value / T) over its sum, shifted by the largest; over strata, not rows."""
-    every = Window.partitionBy()
-    shifted = F.exp((value - F.max(value).over(every)) / temperature)
-    return shifted / F.sum(shifted).over(every)
+def softmax(strata: DataFrame, value: str, temperature: float) -> DataFrame:
+    """Add p: exp(value / T) over its sum, shifted by the largest."""
+    most = F.broadcast(strata.agg(F.max(value).alias("most")))  # one number
+    out = strata.crossJoin(most).withColumn("p", F.exp((F.col(value) - F.col("most")) / temperature)).drop("most")
+    whole = F.broadcast(out.agg(F.sum("p").alias("whole")))  # one number
+    return out.crossJoin(whole).withColumn("p", F.col("p") / F.col("whole")).drop("whole")
 
 
 def greedy_quotas(strata: DataFrame, key: str, total: int, cap: int | None = None, rounding: str = "ceil") -> DataFrame:
-    """Add n: strata by falling p take their rounded share, at most their size, cap and what is left. Each step only
-    takes away, so what is left is total minus the capped shares before, as a running sum."""
+    """The strata that get rows, with n: by falling p they take their rounded share, at most their size, cap and what is
+    left. Each step only takes away, so what is left is total minus the capped shares before, as a running sum. Every
+    share taken is at least one, so only the first total strata can get any, and no more are summed in order."""
     share = F.ceil(F.col("p") * total) if rounding == "ceil" else F.floor(F.col("p") * total)
     quota = F.least(share, F.col("size"), *([F.lit(cap)] if cap is not None else []))
-    out = strata.withColumn("quota", quota)
+    out = strata.withColumn("quota", quota).where("quota > 0").orderBy(F.desc("p"), key).limit(total)
     before = F.coalesce(F.sum("quota").over(_down(F.desc("p"), key)), F.lit(0))
     return out.withColumn("n", F.greatest(F.lit(0), F.least(F.col("quota"), total - before))).drop("quota")
 
@@ -135,11 +136,11 @@ def importance_sample(rows: DataFrame, key: str, target: Column, total: int, str
     """(id, bucket, weight): quotas by the softmax of the importances (or their shares, with linear), capped by default
     at a tenth of the sample; weights 1 / (importance share x n / size x N), 1 where a share is 0."""
     cap = cap if cap is not None else max(1, total // 10)
-    strata = bucket_importance(rows, key, target, strategy, cap)
-    every = Window.partitionBy()
-    part = F.col("importance") / F.when(F.sum("importance").over(every) > 0, F.sum("importance").over(every))
-    strata = strata.withColumn("part", F.coalesce(part, F.lit(0.0))).withColumn("all", F.sum("size").over(every))
-    strata = strata.withColumn("p", F.col("part") if linear else softmax(F.col("importance"), temperature))
+    strata = keep(bucket_importance(rows, key, target, strategy, cap), "strata")
+    whole = F.broadcast(strata.agg(F.sum("importance").alias("whole"), F.sum("size").alias("all")))  # two numbers
+    part = F.col("importance") / F.when(F.col("whole") > 0, F.col("whole"))
+    strata = strata.crossJoin(whole).withColumn("part", F.coalesce(part, F.lit(0.0))).drop("whole")
+    strata = strata.withColumn("p", F.col("part")) if linear else softmax(strata, "importance", temperature)
     quotas = greedy_quotas(strata, key, total, cap)
     found = drawn(rows.select(key, id_), quotas.select(key, "size", "n", "part", "all"), [key], seed, id_)
     odds = F.col("part") * F.col("n") / F.col("size") * F.col("all")
