@@ -12,7 +12,7 @@ import re
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _ODD = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
 
-CACHE = 200_000
+CACHE = 300_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -45,19 +45,15 @@ def pieces(text: str) -> list[str]:
 
 
 class Cached(dict):
-    """What make(piece) gives, remembered for at least the last CACHE pieces made or used: when as many are held, they
-    become the older generation, from which those still used are taken over. No value may be None."""
+    """What make(piece) gives, remembered for up to CACHE pieces."""
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make = make
 
     def __missing__(self, piece):
-        value = self.older.get(piece)
-        if value is None:
-            value = self.make(piece)
+        value = self.make(piece)
         if len(self) >= CACHE:
-            self.older = self.copy()
             self.clear()
         self[piece] = value
         return value
