@@ -8,9 +8,10 @@ homes with guests anchor by anchor finds every such pair. Only a spanning forest
 
 Two uses: `linked_by_distance` is exact for small distances on one 64-bit fingerprint; `linked_by_similarity` takes
 wide fingerprints and many tables of chosen bits with threshold 0, as a similarity of 0.8 is far more differing bits
-than any single covering could allow for. There the second part's code is the trivial one of all words.
+than any single covering could allow for. There the second part's code is the trivial one of all words, and
+fingerprints only propose pairs: the sets of shingles are compared before anything is linked.
 
-Null and empty texts have no shingle and fingerprint zero. Equal fingerprints are collapsed before anything is
+Null and empty texts have no shingle and fingerprint zero. Equal fingerprints, or sets, are collapsed before anything is
 compared, so groups of copies, however large, cost one row. Rows with a null doc_id take part; where all of a component
 have none, its id is null."""
 
@@ -85,13 +86,13 @@ def _mixed(h: np.ndarray, plane: int) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def fingerprint(text: bytes, words: int, planes: int = 1) -> bytes:
-    """Big-endian fingerprint of 64 bits a plane of the text's word shingles, repeats included."""
+def _hashes(text: bytes, words: int):
+    """Hashes of the text's word shingles, repeats included, in lots."""
     import xxhash
 
     found = text.lower().split()
     if not found:
-        return bytes(8 * planes)
+        return
     joined = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -99,15 +100,37 @@ def fingerprint(text: bytes, words: int, planes: int = 1) -> bytes:
     ends = ends[min(words, len(found)) - 1 :][:n].tolist()
     starts = starts[:n].tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros((planes, 64), np.int64)
     for at in range(0, n, LOT):
-        h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + LOT], ends[at : at + LOT], strict=True)], np.uint64)
+        yield np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + LOT], ends[at : at + LOT], strict=True)], np.uint64)
+
+
+def _majority(lots, planes: int) -> bytes:
+    ones, n = np.zeros((planes, 64), np.int64), 0
+    for h in lots:
+        n += len(h)
         for plane in range(planes):
             bits = np.unpackbits(_mixed(h, plane).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
             ones[plane] += bits.sum(0, dtype=np.int32)
     return np.packbits((2 * ones > n).astype(np.uint8)).tobytes()
 
 
+def fingerprint(text: bytes, words: int, planes: int = 1) -> bytes:
+    """Big-endian fingerprint of 64 bits a plane of the text's word shingles, repeats included."""
+    return _majority(_hashes(text, words), planes)
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Sorted hashes of the text's word shingles, each once."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashes(text, words)]))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted sets; 1 for two empty ones."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    same = int(np.count_nonzero(both[1:] == both[:-1]))
+    return same / (len(both) - same) if len(both) else 1.0
+
+
 def fingerprints(docs: DataFrame, words: int, planes: int = 1) -> DataFrame:
     """(doc_id, fp binary of 8 bytes a plane) per document."""
 
@@ -119,11 +142,27 @@ def fingerprints(docs: DataFrame, words: int, planes: int = 1) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {dict(docs.dtypes)['doc_id']}, fp binary")
 
 
-_ROW = np.dtype([("key", "<i8"), ("id", "<i8"), ("home", "?")])
+def shingle_sets(docs: DataFrame, words: int, planes: int) -> DataFrame:
+    """(doc_id, id of the set, fp, shingles) per document, fp of the set's shingles."""
+
+    def make(batches):
+        import xxhash
+
+        for batch in batches:
+            sets = [shingle_set(t, words) for t in common.byte_texts(batch.column(1))]
+            ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            fps = [_majority((s[at : at + LOT] for at in range(0, len(s), LOT)), planes) for s in sets]
+            yield pa.record_batch([batch.column(0), pa.array(ids), pa.array(fps, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "id", "fp", "shingles"])
+
+    common.session(docs)
+    return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {dict(docs.dtypes)['doc_id']}, id long, fp binary, shingles binary")
+
+
+_ROW = np.dtype([("key", "<i4"), ("id", "<i8"), ("home", "?")])
 
 
-def _row_type(planes: int) -> np.dtype:
-    return np.dtype([*_ROW.descr, ("fp", "<u8", (planes,))])
+def _row_type(planes: int, rooted: bool) -> np.dtype:
+    return np.dtype([*_ROW.descr, *([("root", "<i8")] if rooted else []), ("fp", "<u8", (planes,))])
 
 
 def _tables(planes: int, tables: int, second: int) -> np.ndarray:
@@ -145,12 +184,12 @@ def anchors_exact(high: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.n
     return np.arange(len(high)), (word >> 11) << 12 | exact, np.ones(len(high), bool)
 
 
-def _near(rows: np.ndarray, pairs: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links in one sorted block: each home against all of its anchor, as a spanning forest."""
+def _near(rows: np.ndarray, pairs: int, most: int):
+    """Lots of near pairs (u, v, differing bits) in one sorted block: each home against all of its anchor. Rows that
+    have a root are near only to those of others."""
     key, fp = rows["key"], rows["fp"]
     start, end = np.searchsorted(key, key, "left"), np.searchsorted(key, key, "right")
     homes = np.flatnonzero(rows["home"] & (end - start > 1))
-    u, v = [], []
     size = np.cumsum((end - start)[homes])
     cut = 0
     while cut < len(homes):
@@ -162,25 +201,67 @@ def _near(rows: np.ndarray, pairs: int, most: int) -> tuple[np.ndarray, np.ndarr
         far = np.zeros(len(one), np.uint16)
         for p in range(fp.shape[1]):
             far += np.bitwise_count(fp[one, p] ^ fp[other, p])
-        near = (far <= most) & (rows["id"][one] != rows["id"][other])
+        group = "root" if "root" in rows.dtype.names else "id"
+        near = (far <= most) & (rows[group][one] != rows[group][other])
         if near.any():
-            a, b = common.forest(rows["id"][one[near]], rows["id"][other[near]])
-            u.append(a)
-            v.append(b)
+            yield rows["id"][one[near]], rows["id"][other[near]], far[near]
         cut = upto
-    if not u:
+
+
+def _forest(lots) -> tuple[np.ndarray, np.ndarray]:
+    found = [common.forest(u, v) for u, v, _ in lots]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return common.forest(*map(np.concatenate, zip(*found, strict=True)))
+
+
+def _tree(u: np.ndarray, v: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs those of a spanning forest with the least differing bits."""
+    order = np.argsort(far, kind="stable")
+    u, v, far = u[order], v[order], far[order]
+    ids, inverse = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = inverse[: len(u)], inverse[len(u) :]
+    root, taken = np.arange(len(ids)), np.zeros(len(u), bool)
+    while len(cross := np.flatnonzero(root[a] != root[b])):
+        first = np.full(len(ids), len(u))
+        np.minimum.at(first, root[a[cross]], cross)
+        np.minimum.at(first, root[b[cross]], cross)
+        pick = np.unique(first[first < len(u)])
+        taken[pick] = True
+        child, to = common.forest(root[a[pick]], root[b[pick]])
+        up = np.arange(len(ids))
+        up[child] = to
+        root = up[root]
+    return u[taken], v[taken], far[taken]
+
+
+def _trees(lots) -> tuple[np.ndarray, np.ndarray]:
+    found = [_tree(*lot) for lot in lots]
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return common.forest(np.concatenate(u), np.concatenate(v))
+    u, v, _ = _tree(*map(np.concatenate, zip(*found, strict=True)))
+    return np.minimum(u, v), np.maximum(u, v)
 
 
-def links(items: DataFrame, planes: int, tables: int, second: int, excess: int, most: int, count: int) -> DataFrame:
+def _every(lots) -> tuple[np.ndarray, np.ndarray]:
+    found = [np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0) for u, v, _ in lots]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pairs[:, 0].copy(), pairs[:, 1].copy()
+
+
+def links(items: DataFrame, planes: int, tables: int, second: int, excess: int, most: int, count: int, choose=_forest) -> DataFrame:
     """Edges (u, v) that span the items (id long, fp binary) with fingerprints at most `most` bits apart which meet at
-    an anchor. Rows travel packed by anchor bucket; the number of buckets follows the number of items."""
+    an anchor. With _trees for choose the edges are pairs which are that near themselves, with _every all such pairs;
+    items with a root long besides are paired with those of other roots only. Rows travel packed by anchor bucket; the
+    number of buckets follows the number of items."""
     chosen = _tables(planes, tables, second)
     spark = common.session(items)
     ball = 61 if excess == 2 else 1 + excess * 30
     buckets = common.parts_for(spark, count * tables * ball, 400_000)
-    kind = _row_type(planes)
+    rooted = "root" in items.columns
+    kind = _row_type(planes, rooted)
 
     def replicate(batches):
         for batch in batches:
@@ -196,6 +277,8 @@ def links(items: DataFrame, planes: int, tables: int, second: int, excess: int,
                     row, key, home = anchors(*halves, excess) if excess else anchors_exact(*halves)
                     out = np.zeros(len(row), kind)
                     out["key"], out["id"], out["home"], out["fp"] = key | t << 24, ids[row], home, fp[row]
+                    if rooted:
+                        out["root"] = part.column("root").to_numpy()[row]
                     found.append(out)
                 rows = np.concatenate(found)
                 bucket = (rows["key"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)
@@ -208,10 +291,10 @@ def links(items: DataFrame, planes: int, tables: int, second: int, excess: int,
     def compare(table: pa.Table) -> pa.Table:
         rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), kind)
         rows = rows[np.argsort(rows["key"], kind="stable")]
-        u, v = _near(rows, 1_000_000, most)
+        u, v = choose(_near(rows, 1_000_000, most))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    packed = items.select("id", "fp").mapInArrow(replicate, "bucket int, rows binary")
+    packed = items.select("id", "fp", *["root"] * rooted).mapInArrow(replicate, "bucket int, rows binary")
     return packed.groupBy("bucket").applyInArrow(compare, "u long, v long")
 
 
@@ -239,21 +322,49 @@ def _with_components(rows: DataFrame, distinct: DataFrame, edges: DataFrame) ->
 
 def most_bits(similarity: float, bits: int) -> int:
     """Differing bits up to which shingle sets of that Jaccard similarity link: what random hyperplanes expect at its
-    cosine 2s / (1 + s), and one and a half standard deviations."""
+    cosine 2s / (1 + s), and three standard deviations. It only proposes pairs."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + 1.5 * np.sqrt(bits * p * (1 - p)))
+    return int(bits * p + 3 * np.sqrt(bits * p * (1 - p)))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the kept pairs (u, v) whose sets of shingles have the similarity."""
+
+    def check(batches):
+        for batch in batches:
+            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("a", "b"))
+            yield batch.select(["u", "v"]).filter(pa.array([jaccard(x, y) >= similarity for x, y in zip(a, b, strict=True)], pa.bool_()))
+
+    # Written first, so that while they are few the sets of all other documents aren't shuffled.
+    ends = common.keep(pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct(), "ends")
+    own = common.keep(sets.select("id", "shingles").join(ends, "id", "left_semi").dropDuplicates(["id"]), "own")
+    left = common.keep(pairs.join(own.withColumnRenamed("shingles", "a"), F.col("u") == F.col("id")).select("u", "v", "a"), "left")
+    both = left.join(own.withColumnRenamed("shingles", "b"), F.col("v") == F.col("id")).select("u", "v", "a", "b")
+    found = common.keep(both.mapInArrow(check, "u long, v long"), "similar")
+    common.drop(left, own)
+    common.release(pairs.sparkSession)
+    return found
 
 
 def linked_by_similarity(docs: DataFrame, words: int = 5, similarity: float = 0.8, planes: int = 4, tables: int = 96, exact: int = 7) -> DataFrame:
-    """(doc_id, key, component_id) per document, linked where wide fingerprints say that the sets of shingles have at
-    least the given similarity. key is the same for copies. An approximate join, as SimHash is: what it misses and
-    links beyond is measured in the tests. More documents want more exact bits, and with them more tables: with 7 a table
-    has half a million anchors."""
-    fps = fingerprints(docs, words, planes).withColumn("id", F.xxhash64("fp"))
-    fps = common.keep(fps, "fingerprints")
-    distinct = common.keep(fps.groupBy("id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")), "distinct")
-    edges = links(distinct, planes, tables, exact, 0, most_bits(similarity, 64 * planes), distinct.count())
-    return _with_components(fps.select("doc_id", "id"), distinct, edges).select("doc_id", F.col("id").alias("key"), "component_id")
+    """(doc_id, key, component_id) per document, linked where the sets of shingles have at least the given similarity;
+    key is the same for equal sets. Wide fingerprints propose the pairs, so some are missed, as SimHash does, but none
+    is linked without its sets being compared. First a spanning forest of the closest proposals is compared; then all
+    proposals between components that this leaves apart, so that a group of near copies costs a pair a document. More
+    documents want more exact bits, and with them more tables: with 7 a table has half a million anchors."""
+    spark, most = common.session(docs), most_bits(similarity, 64 * planes)
+    sets = common.keep(shingle_sets(docs, words, planes), "shingles")
+    distinct = common.keep(sets.groupBy("id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")), "distinct")
+    trees = common.keep(links(distinct, planes, tables, exact, 0, most, distinct.count(), _trees).distinct(), "trees")
+    common.release(spark)
+    sure = _similar(trees, sets, similarity)
+    roots = common.components(sure).select(F.col("u").alias("id"), F.col("v").alias("root"))
+    near = trees.select(F.col("u").alias("id")).union(trees.select(F.col("v").alias("id"))).distinct()
+    apart = common.keep(distinct.join(near, "id", "left_semi").join(roots, "id", "left").select("id", "fp", F.coalesce("root", "id").alias("root")), "apart")
+    rest = links(apart, planes, tables, exact, 0, most, apart.count(), _every).distinct()
+    rest = common.keep(rest.join(trees, ["u", "v"], "left_anti"), "rest")
+    edges = sure.union(_similar(rest, sets, similarity))
+    return _with_components(sets.select("doc_id", "id"), distinct, edges).select("doc_id", F.col("id").alias("key"), "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, planes: int = 4, tables: int = 96, exact: int = 7) -> DataFrame:

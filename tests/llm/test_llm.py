@@ -316,6 +316,24 @@ def test_near_copies_go_and_others_stay(spark):
     assert len([c for c, _ in copies if c in got]) <= 1
 
 
+def test_near_dedup_keeps_what_is_less_similar(spark):
+    rng = random.Random(16)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(4000)]
+    rows, pairs = [], []
+    for i in range(60):
+        body = [rng.choice(words) for _ in range(200)]
+        rows.append((i, " ".join(body)))
+        for at in range(8, 200, 38 if i < 30 else 100):  # similarity of about 0.77, and of about 0.9
+            body[at] = rng.choice(words)
+        rows.append((100 + i, " ".join(body)))
+        one, other = ({tuple(t.split()[k : k + 5]) for k in range(196)} for _, t in rows[-2:])
+        pairs.append((i, len(one & other) / len(one | other)))
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(0.7 < s < 0.8 for _, s in pairs[:30])
+    assert set(range(60)) | {100 + i for i, s in pairs if s < 0.8} <= got
+    assert len([i for i, s in pairs if s >= 0.8 and 100 + i in got]) <= 1
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1100)] + [(7, 7)]
