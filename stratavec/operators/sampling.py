@@ -123,6 +123,19 @@ def greedy_quotas(strata: DataFrame, key: str, total: int, cap: int | None = Non
     return out.withColumn("n", F.greatest(F.lit(0), F.least(F.col("quota"), total - before))).drop("quota")
 
 
+def topped_up(strata: DataFrame, quotas: DataFrame, key: str, total: int) -> DataFrame:
+    """The quotas, and strata without any for what they leave of total: by falling p they take up to their size. Each
+    takes one at least, so only as many as rows are left are summed in order."""
+    quotas = keep(quotas.where("n > 0"), "quotas")
+    left = total - (quotas.agg(F.sum("n")).first()[0] or 0)
+    if left <= 0:
+        return quotas
+    out = strata.join(quotas.select(key), key, "left_anti").orderBy(F.desc("p"), F.desc("size"), key).limit(int(left))
+    before = F.coalesce(F.sum("size").over(_down(F.desc("p"), F.desc("size"), key)), F.lit(0))
+    more = out.withColumn("n", F.greatest(F.lit(0), F.least(F.col("size"), F.lit(int(left)) - before)))
+    return quotas.unionByName(more.select(quotas.columns))
+
+
 def bucket_importance(rows: DataFrame, key: str, target: Column, strategy: str = "proportional", cap: int = 100) -> DataFrame:
     """(key, size, mean, variance, importance): the size, the size up to cap, or variance x size."""
     stats = rows.groupBy(key).agg(F.count("*").alias("size"), F.avg(target).alias("mean"), F.coalesce(F.var_samp(target), F.lit(0.0)).alias("variance"))
@@ -134,14 +147,15 @@ def bucket_importance(rows: DataFrame, key: str, target: Column, strategy: str =
 
 def importance_sample(rows: DataFrame, key: str, target: Column, total: int, strategy: str = "proportional", temperature: float = 1.0, cap: int | None = None, seed: int = 42, id_: str = "id", linear: bool = False) -> DataFrame:
     """(id, bucket, weight): quotas by the softmax of the importances (or their shares, with linear), capped by default
-    at a tenth of the sample; weights 1 / (importance share x n / size x N), 1 where a share is 0."""
+    at a tenth of the sample, and topped up from the strata without one; weights 1 / (importance share x n / size x N), 1 where a share is 0."""
     cap = cap if cap is not None else max(1, total // 10)
     strata = keep(bucket_importance(rows, key, target, strategy, cap), "strata")
     whole = F.broadcast(strata.agg(F.sum("importance").alias("whole"), F.sum("size").alias("all")))  # two numbers
     part = F.col("importance") / F.when(F.col("whole") > 0, F.col("whole"))
     strata = strata.crossJoin(whole).withColumn("part", F.coalesce(part, F.lit(0.0))).drop("whole")
     strata = strata.withColumn("p", F.col("part")) if linear else softmax(strata, "importance", temperature)
-    quotas = greedy_quotas(strata, key, total, cap)
+    strata = keep(strata, "odds")
+    quotas = topped_up(strata, greedy_quotas(strata, key, total, cap), key, total)
     found = drawn(rows.select(key, id_), quotas.select(key, "size", "n", "part", "all"), [key], seed, id_)
     odds = F.col("part") * F.col("n") / F.col("size") * F.col("all")
     return found.select(id_, F.col(key).alias("bucket"), F.coalesce(1 / F.when(odds > 0, odds), F.lit(1.0)).alias("weight"))

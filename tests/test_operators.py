@@ -283,3 +283,10 @@ def test_report(spark, tmp_path):
     assert spark.read.json(f"file://{tmp_path}/report").count() == 2
     with pytest.raises(ValueError):
         report.add("x", speed=1.0)
+
+
+def test_importance_sample_is_whole_when_a_bucket_dominates(spark):
+    rows = spark.range(2000).selectExpr("id", "if(id < 1900, 0, id % 10 + 1) AS k", "cast(id % 7 AS double) AS f")
+    for strategy in ("proportional", "balanced", "variance"):
+        got = sampling.importance_sample(rows, "k", F.col("f"), 60, strategy, temperature=0.01)
+        assert got.select("id").distinct().count() == got.count() == 60
