@@ -290,3 +290,10 @@ def test_importance_sample_is_whole_when_a_bucket_dominates(spark):
     for strategy in ("proportional", "balanced", "variance"):
         got = sampling.importance_sample(rows, "k", F.col("f"), 60, strategy, temperature=0.01)
         assert got.select("id").distinct().count() == got.count() == 60
+
+
+def test_sweep_scores_all_points(spark):
+    points = sources.blobs(spark, 1300, dim=4, centres=3, spread=2.0).select("id", "v").cache()
+    row = metrics.k_sweep(points, [3], steps=2)[0]
+    rows = kmeans.assigned(points, np.array(kmeans.lloyd(points, 3, 2, 0)))
+    assert row["silhouette_mean"] == pytest.approx(metrics.silhouette(rows).first()[0], abs=1e-9)
