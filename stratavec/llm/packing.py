@@ -6,8 +6,10 @@ more rows than the bin has tokens, and a combination is used as often as its len
 for, so the plan on the driver is as small for any number of documents. Executors then number the pieces of one length
 and look up their bin in the plan.
 
-Null texts count as empty. Empty documents are one piece, the closing id. Repeated rows are packed each; among pieces
-of one length doc_id, piece and checksum decide the order. No rows give no rows."""
+Null texts count as empty. Empty documents are one piece, the closing id. The string of a special token in a text is that
+token, as the library gives it. Documents longer than a sequence, however long, are cut into pieces of its length and a
+rest. Repeated rows are packed each; among pieces of one length doc_id, piece and checksum decide the order. No rows give
+no rows. Only doc_id and text are read, so other columns of any name don't matter."""
 
 from __future__ import annotations
 

@@ -1,18 +1,23 @@
 """Whole texts cut at places where no token can cross, so that each distinct piece is tokenized once and looked up after.
 
-The bounded caches live in the worker; what they forget is made again."""
+The caches live in the worker and are bounded in bytes; what they forget, and long pieces, are made again."""
 
 from __future__ import annotations
 
 import base64
 import functools
 import re
+from sys import getsizeof
 
 #: Spaces between other signs, after which the pattern's matches always begin anew.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _ODD = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
 
-CACHE = 300_000
+#: Bytes of one cache, and of a piece (or what is made of it) above which it isn't remembered: texts without spaces are
+#: one piece each, however long, and never come again.
+CACHE_BYTES, LONG = 48 << 20, 512
+#: Bytes of an entry besides its key and value: its place in the table, at the table's least load.
+ENTRY = 120
 
 
 def tokenizer_path(name: str) -> str:
@@ -45,16 +50,21 @@ def pieces(text: str) -> list[str]:
 
 
 class Cached(dict):
-    """What make(piece) gives, remembered for up to CACHE pieces."""
+    """What make(piece) gives, remembered while all that is remembered stays below CACHE_BYTES."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.size = make, 0
 
     def __missing__(self, piece):
         value = self.make(piece)
-        if len(self) >= CACHE:
+        size = getsizeof(piece) + getsizeof(value)
+        if size > 2 * LONG:
+            return value
+        self.size += size + ENTRY
+        if self.size > CACHE_BYTES:
             self.clear()
+            self.size = size + ENTRY
         self[piece] = value
         return value
 
@@ -62,7 +72,8 @@ class Cached(dict):
 class WordEncoder:
     """Ids of a tokenizer file with lower-cased words, byte symbols and word-end suffix, as little-endian bytes.
 
-    The library reads the file and encodes every word with letters beyond Latin. Words of Latin letters, whose
+    The library reads the file and encodes every word with letters beyond Latin or with the string of a special token,
+    which gets that token's id as the library gives it. Other words of Latin letters, whose
     normalization is lower case alone, are merged by ranks instead, which is much faster: a merged symbol's id grows
     with its merge's place, and every symbol's own bytes encode to itself, from which follows that merging the adjacent
     two of least joint id gives the library's ids (the tests check both for the file)."""
@@ -77,9 +88,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        # Specials are matched in the raw text and hold no white space, so each lies within one word.
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)").search
         self.matches = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+").findall
         ranks = symbols(spec)
         ranks.setdefault(self.END, len(spec["model"]["vocab"]) + 10)
@@ -91,7 +103,7 @@ class WordEncoder:
         import array
 
         text = word.decode()
-        if self.latin(text):
+        if self.latin(text) and not self.special(text):
             return array.array("I", [i for m in self.matches(text.lower()) for i in self.merge(m.encode() + self.END)]).tobytes()
         return array.array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 

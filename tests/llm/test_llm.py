@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 import zlib
+from sys import getsizeof
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ def corpus(n=60, seed=1):
     words = ["the", "of", "Étude", "x", "lorem", "ipsum", "dolor", "ß", "amet", "Straße", "don't", "1234", "a_b", "naïve"]
     text = lambda k: " ".join(rng.choice(words) + rng.choice(["", "", ".", ",\n", "y"]) for _ in range(k))
     base = [text(rng.randint(0, 90)) for _ in range(12)]
-    out = [None, "", "   ", "\n\t ", "a", "a" * 300, "ab" * 200, "日本語のテキスト " * 30, "🙂" * 60, "x\r\n y  z\u00a0w \x1c q", text(4000)]
+    out = [None, "", "x <|endoftext|> y<|startoftext|>z", "   ", "\n\t ", "a", "a" * 300, "ab" * 200, "日本語のテキスト " * 30, "🙂" * 60, "x\r\n y  z\u00a0w \x1c q", text(4000)]
     while len(out) < n:
         kind = rng.random()
         one = rng.choice(base)
@@ -146,10 +147,15 @@ def test_word_encoder_is_the_library():
 
     w = tokens.WordEncoder(WORD_BPE)
     rng = random.Random(3)
-    signs = [chr(c) for c in range(0x21, 0x180) if not 0x7F <= c <= 0xA0] + ["日", "Σ", "İ", "e\u0301", "'s", "'LL", "<|endoftext|>"]
-    some = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 9))) for _ in range(5000)]
-    for s, e in zip(some, w.library.encode_batch(some, add_special_tokens=False), strict=True):
+    signs = [chr(c) for c in range(0x21, 0x180) if not 0x7F <= c <= 0xA0] + ["日", "Σ", "İ", "e\u0301", "'s", "'LL"] + ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "<|ENDOFTEXT|>"] * 4
+    some = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
+    some += ["<|endoftext|>", "<|startoftext|>", "a<|endoftext|>b", "<|endoftext|><|startoftext|>", "<|endoftext|"]
+    library = Tokenizer.from_file(WORD_BPE)
+    for s, e in zip(some, library.encode_batch(some, add_special_tokens=False), strict=True):
         assert w.word(s.encode()) == np.array(e.ids, "<u4").tobytes()
+    texts = [" ".join(some[i : i + 7]) + rng.choice(["", "\n", "  ", "\u00a0"]) for i in range(0, 700, 7)]
+    for s, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert b"".join(w.word(x) for x in s.encode().split()) == np.array(e.ids, "<u4").tobytes()
     with open(WORD_BPE, encoding="utf-8") as file:
         model = json.load(file)["model"]
     merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -166,6 +172,20 @@ def test_word_encoder_is_the_library():
         assert parts == [symbol]
 
 
+def test_caches_are_bounded_in_bytes():
+    """300,000 long texts without spaces leave a cache small, and short ones no larger than it may be."""
+    made = []
+    long = tokens.Cached(lambda piece: made.append(1) or piece + "x")
+    for i in range(300_000):
+        assert long[f"{i:07d}" * 200][-1] == "x"
+    assert len(made) == 300_000 and not long
+    short = tokens.Cached(lambda piece: piece * 2)
+    for i in range(300_000):
+        assert short["w" * 60 + str(i)]
+    held = sum(getsizeof(k) + getsizeof(v) for k, v in short.items()) + getsizeof(short)
+    assert 0 < held <= tokens.CACHE_BYTES
+
+
 # -- classifiers ----------------------------------------------------------------------------------------------------
 
 
