@@ -1,12 +1,15 @@
 """Byte-level BPE by monoid tree reduction.
 
-A text is cut by the splitting pattern, and each match is encoded alone. Long matches are halved until a half is short;
-halves are merged by rank in the library's routine for one piece, and two neighbours are joined by re-encoding a window over their boundary that grows
-until it is provably stable: a sequence of tokens is the encoding of its bytes exactly if the encoding of every two
-adjacent tokens' bytes is these two tokens again, so once both ends of the window agree so with the tokens beside them,
-nothing outside can change. That holds if each token's own bytes merge to that token, which the tests check. Decoding concatenates up the same kind of tree.
+A text is cut by the splitting pattern, and each match is encoded alone. A match that is no token is halved until a half
+is LEAF bytes long at most; halves are merged by rank, and two neighbours are joined by re-encoding a window over their
+boundary that grows until it is provably stable: a sequence of tokens is the encoding of its bytes exactly if the encoding
+of every two adjacent tokens' bytes is these two tokens again, so once both ends of the window agree so with the tokens
+beside them, nothing outside can change. That holds if each token's own bytes merge to that token, which the tests check.
+Decoding concatenates up the same kind of tree.
 
-Null texts count as empty: no tokens. Repeated rows are encoded each."""
+Null texts count as empty: no tokens. Texts of any length are encoded whole; a long match costs its length, as joins touch
+few tokens. Special tokens' strings are ordinary text. Repeated rows are encoded each, an empty table gives no rows. Only
+doc_id and text are read, so other columns of any name don't matter."""
 
 from __future__ import annotations
 
@@ -18,8 +21,10 @@ from pyspark.sql import DataFrame
 
 from . import common, tokens
 
-#: Bytes up to which a half is merged at once.
-LEAF = 16
+#: Bytes up to which a half is merged at once, two or three tokens.
+LEAF = 8
+#: Above every rank.
+NO_RANK = 1 << 60
 
 
 class Encoder:
@@ -27,22 +32,41 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF):
         import regex
-        import tiktoken
 
         self.ranks, self.leaf = ranks, leaf
-        self.merged = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.matches = regex.compile(pattern).findall
         self.names = {rank: token for token, rank in ranks.items()}
         self.pairs = tokens.Cached(self._stable)
-        # Strings and bytes, as the garbage collector never looks at them again, unlike as many lists.
-        self.matched = tokens.Cached(lambda match: ",".join(map(str, self.encode_match(match.encode()))))
-        self.spelled = tokens.Cached(lambda piece: ",".join([self.matched[match] for match in self.matches(piece)]))
-        self.said = tokens.Cached(lambda piece: self.decode(self._ids(self.spelled[piece])))
+        # Pairs of a string and bytes, which the garbage collector stops looking at, unlike as many lists.
+        self.known = tokens.Cached(self._both)
 
     @staticmethod
     def _ids(spelled: str) -> list[int]:
         return list(map(int, spelled.split(","))) if spelled else []
 
+    def _both(self, piece: str) -> tuple[str, bytes]:
+        """A piece's ids joined by commas, and what they decode to."""
+        ids = [i for match in self.matches(piece) for i in self.encode_match(match.encode())]
+        return ",".join(map(str, ids)), self.decode(ids)
+
+    def merged(self, data: bytes) -> list[int]:
+        """Tokens of a short string: from single bytes on, the neighbours whose joint token has the least rank become that
+        token, the first of equals, until none have one. What is a token already merges to itself."""
+        ranks = self.ranks.get
+        if (rank := ranks(data)) is not None:
+            return [rank]
+        parts = [data[i : i + 1] for i in range(len(data))]
+        joint = [ranks(data[i : i + 2], NO_RANK) for i in range(len(data) - 1)]
+        while joint and (least := min(joint)) < NO_RANK:
+            i = joint.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del joint[i]
+            if i:
+                joint[i - 1] = ranks(parts[i - 1] + parts[i], NO_RANK)
+            if i < len(joint):
+                joint[i] = ranks(parts[i] + parts[i + 1], NO_RANK)
+        return [self.ranks[p] for p in parts]
+
     def _stable(self, pair: int) -> bool:
         """Whether two adjacent tokens, in one number, are the encoding of their bytes."""
         left, right = pair >> 32, pair & 0xFFFFFFFF
@@ -63,7 +87,7 @@ class Encoder:
             width *= 2
 
     def tree(self, data: bytes) -> list[int]:
-        """Halves up to leaf bytes long are encoded at once; the stack holds the encodings still to be joined."""
+        """Halves up to leaf bytes long are merged at once, others from their own halves."""
         if len(data) <= self.leaf:
             return self.merged(data)
         middle = len(data) // 2
@@ -79,15 +103,17 @@ class Encoder:
     def spell(self, text: str) -> tuple[str, bytes]:
         """A text's ids joined by commas, and what the ids decode to. Both are put together from the text's pieces, each of
         which is encoded, and its ids decoded, once."""
-        found = tokens.pieces(text)
-        return ",".join(map(self.spelled.__getitem__, found)), b"".join(map(self.said.__getitem__, found))
+        found = list(map(self.known.__getitem__, tokens.pieces(text)))
+        return ",".join([ids for ids, _ in found]), b"".join([data for _, data in found])
 
     def decode(self, ids: list[int]) -> bytes:
         """Concatenate up the tree; its lowest level is joined in runs."""
+        if len(ids) <= 4096:
+            return b"".join(map(self.names.__getitem__, ids))
         runs = [b"".join(map(self.names.__getitem__, ids[i : i + 4096])) for i in range(0, len(ids), 4096)]
         while len(runs) > 1:
             runs = [b"".join(runs[i : i + 2]) for i in range(0, len(runs), 2)]
-        return runs[0] if runs else b""
+        return runs[0]
 
 
 @functools.cache

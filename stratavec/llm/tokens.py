@@ -15,7 +15,7 @@ _ODD = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
 
 #: Bytes of one cache, and of a piece (or what is made of it) above which it isn't remembered: texts without spaces are
 #: one piece each, however long, and never come again.
-CACHE_BYTES, LONG = 48 << 20, 512
+CACHE_BYTES, LONG = 128 << 20, 512
 #: Bytes of an entry besides its key and value: its place in the table, at the table's least load.
 ENTRY = 120
 
@@ -58,7 +58,7 @@ class Cached(dict):
 
     def __missing__(self, piece):
         value = self.make(piece)
-        size = getsizeof(piece) + getsizeof(value)
+        size = getsizeof(piece) + (sum(map(getsizeof, value)) if type(value) is tuple else getsizeof(value))
         if size > 2 * LONG:
             return value
         self.size += size + ENTRY

@@ -471,17 +471,26 @@ def test_encoding_is_the_library(library, ranks, text):
     assert "".join(tokens.pieces(text)) == text
 
 
-def test_joining_at_every_place(ranks):
+def test_joining_at_every_place(ranks, library):
     rng = random.Random(8)
-    for leaf in (1, 2, 5):
+    for leaf in (1, 2, 5, bpe.LEAF):
         e = bpe.Encoder(ranks, tokens.pattern(), leaf)
         for _ in range(300):
-            data = "".join(rng.choice(["a", "th", "er", "in", "x", "é", "zz"]) for _ in range(rng.randint(1, 60))).encode()
-            assert e.tree(data) == (whole := e.merged(data))
+            data = "".join(rng.choice(["a", "th", "er", "in", "x", "é", "zz", "日本", "ий"]) for _ in range(rng.randint(1, 60))).encode()
+            assert e.tree(data) == (whole := e.merged(data)) == library._core_bpe.encode_single_piece(data)
             cut = rng.randrange(len(data) + 1)
             assert e.join(e.merged(data[:cut]) if cut else [], e.merged(data[cut:]) if cut < len(data) else []) == whole
 
 
+def test_long_matches_go_through_the_tree(ranks, library):
+    rng = random.Random(18)
+    e = bpe.Encoder(ranks, tokens.pattern())
+    for alphabet in ("ab", "etaoin", "日本語の", "a"):
+        data = "".join(rng.choice(alphabet) for _ in range(20_000))
+        assert e.encode(data) == library.encode_ordinary(data)
+        assert e.decode(e.encode(data)) == data.encode()
+
+
 def test_every_token_is_its_own_encoding(ranks):
     for token in random.Random(1).sample(list(ranks), 5000):
         parts = [token[i : i + 1] for i in range(len(token))]
