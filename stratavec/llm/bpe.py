@@ -37,6 +37,7 @@ class Encoder:
         self.matches = regex.compile(pattern).findall
         self.names = {rank: token for token, rank in ranks.items()}
         self.pairs = tokens.Cached(self._stable)
+        self.leaves = tokens.Cached(self.merged)
         # Pairs of a string and bytes, which the garbage collector stops looking at, unlike as many lists.
         self.known = tokens.Cached(self._both)
 
@@ -49,12 +50,12 @@ class Encoder:
         ids = [i for match in self.matches(piece) for i in self.encode_match(match.encode())]
         return ",".join(map(str, ids)), self.decode(ids)
 
-    def merged(self, data: bytes) -> list[int]:
+    def merged(self, data: bytes) -> tuple[int, ...]:
         """Tokens of a short string: from single bytes on, the neighbours whose joint token has the least rank become that
         token, the first of equals, until none have one. What is a token already merges to itself."""
         ranks = self.ranks.get
         if (rank := ranks(data)) is not None:
-            return [rank]
+            return (rank,)
         parts = [data[i : i + 1] for i in range(len(data))]
         joint = [ranks(data[i : i + 2], NO_RANK) for i in range(len(data) - 1)]
         while joint and (least := min(joint)) < NO_RANK:
@@ -65,14 +66,14 @@ class Encoder:
                 joint[i - 1] = ranks(parts[i - 1] + parts[i], NO_RANK)
             if i < len(joint):
                 joint[i] = ranks(parts[i] + parts[i + 1], NO_RANK)
-        return [self.ranks[p] for p in parts]
+        return tuple([self.ranks[p] for p in parts])
 
     def _stable(self, pair: int) -> bool:
         """Whether two adjacent tokens, in one number, are the encoding of their bytes."""
         left, right = pair >> 32, pair & 0xFFFFFFFF
-        return self.merged(self.names[left] + self.names[right]) == [left, right]
+        return self.merged(self.names[left] + self.names[right]) == (left, right)
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of what left and right encode, from their tokens."""
         if not left or not right or self.pairs[left[-1] << 32 | right[0]]:
             return left + right
@@ -86,16 +87,16 @@ class Encoder:
                 return left[:a] + window + right[b:]
             width *= 2
 
-    def tree(self, data: bytes) -> list[int]:
+    def tree(self, data: bytes) -> tuple[int, ...]:
         """Halves up to leaf bytes long are merged at once, others from their own halves."""
         if len(data) <= self.leaf:
-            return self.merged(data)
+            return self.leaves[data]
         middle = len(data) // 2
         return self.join(self.tree(data[:middle]), self.tree(data[middle:]))
 
-    def encode_match(self, data: bytes) -> list[int]:
+    def encode_match(self, data: bytes) -> tuple[int, ...]:
         rank = self.ranks.get(data)
-        return [rank] if rank is not None else self.tree(data)
+        return (rank,) if rank is not None else self.tree(data)
 
     def encode(self, text: str) -> list[int]:
         return self._ids(self.spell(text)[0])
@@ -138,7 +139,6 @@ def encoded(docs: DataFrame, ranks_path: str, with_ids: bool = False) -> DataFra
             kinds = (batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids])
 
-    common.session(docs)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
