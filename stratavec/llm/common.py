@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: tables in the shared folder, bounded Arrow batches, components."""
+"""What the operators of this subpackage share: tables in the shared folder, columns of any name, components."""
 
 from __future__ import annotations
 
@@ -10,17 +10,7 @@ from pyspark.sql import types as T
 
 from ..sources.scratch import drop, keep, new_path, shared_folder
 
-__all__ = ["byte_texts", "components", "drop", "forest", "keep", "new_path", "parts_for", "release", "session", "shared_folder", "with_fields", "wrapped"]
-
-#: Bytes of one Arrow batch handed to a Python worker. One longer row still makes a batch of its own.
-BATCH_BYTES = 4 << 20
-
-
-def session(df: DataFrame) -> SparkSession:
-    """The frame's session, with Arrow batches bounded in bytes besides rows."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return spark
+__all__ = ["byte_texts", "components", "drop", "forest", "keep", "new_path", "parts_for", "shared_folder", "with_fields", "wrapped"]
 
 
 def with_fields(df: DataFrame, *more: tuple[str, str]) -> T.StructType:
@@ -33,14 +23,6 @@ def wrapped(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *columns)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's context cleaner delete shuffle files of finished jobs now, not at its next half-hourly round."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def byte_texts(column: pa.Array) -> list[bytes]:
     """A text column as UTF-8 bytes; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
@@ -71,31 +53,31 @@ def _grown(edges: DataFrame) -> tuple[int, int]:
     return row.n, row.x
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Hang every larger neighbour of u on the least vertex next to u."""
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hang every larger neighbour of u on the least vertex next to u. Gives a kept table and the edges that read it."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star")
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return least, both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Hang the smaller neighbours of u, and u, on the least of them. Edges run from the larger u to the smaller v."""
     least = keep(edges.groupBy("u").agg(F.min("v").alias("m")), "star")
     hung = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hung.union(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
+    return least, hung.union(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v) of longs: (u, v) with v the least vertex of u's component, for every
-    vertex that isn't its component's least. Alternates large-star and small-star rounds until nothing changes; each
-    round is written to the shared folder. Loops and repeated edges are allowed, no edges give no rows."""
+    vertex that isn't its component's least. Alternates large-star and small-star rounds until nothing changes, which
+    takes about as many as the square of the logarithm of the vertices at most. Each round is written to the shared folder
+    and the one before dropped. Loops and repeated edges are allowed, no edges give no rows."""
     now = keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
-    mark = _grown(now)
-    if mark[0] == 0:
-        return now
-    for _ in range(rounds):
-        now = keep(_small_star(keep(_large_star(now), "edges")), "edges")
-        before, mark = mark, _grown(now)
-        if mark == before:
-            return now
-    raise RuntimeError(f"components didn't settle in {rounds} rounds")
+    mark, before = _grown(now), None
+    while mark[0] and mark != before:
+        for star in (_large_star, _small_star):
+            least, new = star(now)
+            old, now = now, keep(new, "edges")
+            drop(least, old)
+        mark, before = _grown(now), mark
+    return now

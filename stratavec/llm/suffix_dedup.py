@@ -347,11 +347,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc, tag, start, stop): the bytes that go, for documents (doc, tag, text)."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
-    spark = common.session(docs)
+    spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = common.parts_for(spark, total * 2 // (length - GRAM + 2), BUCKET_RUNS)
     second = common.keep(_second_pass(_first_pass(docs, buckets, length), length), "runs")
-    common.release(spark)
     open_ = second.where("anchor IS NOT NULL")
     kind = _context_type(length)
     deep = common.parts_for(spark, open_.count() * 2, 60_000)
@@ -381,7 +380,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     fetched = docs.join(lists, ["doc", "tag"]).select("text", "found").mapInArrow(cut, "bucket int, rows binary")
     more = fetched.groupBy("bucket").applyInArrow(sort, "doc long, tag long, start int, stop int")
     third = common.keep(more, "spans")
-    common.release(spark)
     return second.where("anchor IS NULL").select("doc", "tag", "start", "stop").unionByName(third)
 
 

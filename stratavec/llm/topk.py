@@ -116,7 +116,7 @@ def max_score(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vecto
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query (vec_id, v) its k highest inner products with vectors (vec_id, v)
     of other ids; all, if fewer."""
-    spark = common.session(vectors)
+    spark = vectors.sparkSession
     shards = common.keep(_blocks(vectors, SHARD_ROWS), "shards")
     groups = common.parts_for(spark, shards.count(), GROUP_SHARDS)
     asked = _blocks(queries.groupBy("vec_id").agg(F.min("v").alias("v")), QUERY_ROWS)

@@ -103,7 +103,6 @@ def parse(data: bytes) -> dict:
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
     """Write every page (page_id, url, html) as a record into files of folder."""
-    common.session(pages)
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("sha", F.sha1("payload"))
     sized = rows.where(F.octet_length("payload") >= min_bytes) if min_bytes else rows
@@ -144,7 +143,6 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (f.split() for f in _CAPTURE.split(", "))]))
 
     files = _files(spark, folder)
-    common.session(files)
     return files.mapInArrow(scan, _CAPTURE)
 
 
@@ -157,7 +155,7 @@ class CaptureIndex:
 
     @classmethod
     def build(cls, captures: DataFrame, folder: str) -> CaptureIndex:
-        spark = common.session(captures)
+        spark = captures.sparkSession
 
         def pack(batches):
             lines: list[str] = []
