@@ -521,10 +521,35 @@ def test_quality_rules(spark, texts, docs):
 
 def test_order_of_rules_changes_nothing(docs):
     rows = quality_rules.measured(docs).cache()
-    found = quality_rules.rules()
-    for order in (found, found[::-1], quality_rules.ordered(docs, found, fraction=1.0)):
+    found = [*quality_rules.BASE, *quality_rules.rules(least_repeats=1)]
+    stored = quality_rules.Stored(F.coalesce("text", F.lit("")))
+    verdicts = []
+    for order in (found, found[::-1], quality_rules.ordered(docs, found)):
         assert len(order) == len(found)
-        assert [r.k for r in rows.select("doc_id", quality_rules.verdict(order).alias("k")).orderBy("doc_id").collect()] == [r.k for r in rows.select("doc_id", quality_rules.verdict(found).alias("k")).orderBy("doc_id").collect()]
+        verdicts.append([r.k for r in rows.select("doc_id", quality_rules.verdict(order, stored).alias("k")).orderBy("doc_id").collect()])
+    assert verdicts[0] == verdicts[1] == verdicts[2]
+    good = {r.doc_id for r in quality_rules.keep_good(docs).collect()}
+    assert good == {r.doc_id for r in quality_rules.judged(docs).where("kept").collect()}
+
+
+def test_order_follows_rejections_per_cost(spark):
+    prose = " ".join(f"word{i} and some{i * 7} text" for i in range(100))
+    docs = frame(spark, [prose.upper()] * 20 + [prose] * 60 + [f"{w} ### ### ###" for w in "abcdefghij" * 2]).repartition(2)
+    found = [*quality_rules.BASE, *quality_rules.rules()]
+    orders = [[r.name for r in quality_rules.ordered(docs, found, copies=40)] for _ in range(3)]
+    # What rejects nothing comes last, as it was; the costly windows reject nothing here.
+    assert all(o.index("repeated windows") > max(o.index("few words"), o.index("capitals")) for o in orders)
+    assert all(o[-3:] == ["exclamations", "repeated lines", "word length"] or "word length" in o[:4] for o in orders)
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c", "mine", 5, "w", 9)], "doc_id long, text string, kept string, n_words int, _words string, __measures int")
+    got = quality_rules.measured(docs).first().asDict()
+    assert (got["n_words"], got["kept"], got["_words"], got["__measures"]) == (3, "mine", "w", 9)
+    prose = " ".join(f"word{i} and some{i * 7} text" for i in range(40))
+    kept = quality_rules.keep_good(docs.withColumn("text", F.lit(prose)))
+    assert kept.columns == docs.columns
+    assert kept.first().asDict() == docs.first().asDict() | {"text": prose}
 
 
 def test_rules_reject_junk_and_keep_prose(spark):
