@@ -39,7 +39,7 @@ class Encoder:
         self.pairs = tokens.Cached(self._stable)
         self.leaves = tokens.Cached(self.merged)
         # Pairs of a string and bytes, which the garbage collector stops looking at, unlike as many lists.
-        self.known = tokens.Cached(self._both)
+        self.known = tokens.Cached(self._both, 128 << 20)
 
     @staticmethod
     def _ids(spelled: str) -> list[int]:
@@ -139,7 +139,7 @@ def encoded(docs: DataFrame, ranks_path: str, with_ids: bool = False) -> DataFra
             kinds = (batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return common.bounded(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def decoded(rows: DataFrame, ranks_path: str) -> DataFrame:
@@ -150,4 +150,4 @@ def decoded(rows: DataFrame, ranks_path: str) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([encoder.decode(x or []) for x in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "data"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, data binary")
+    return common.bounded(rows.select("doc_id", "ids")).mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, data binary")

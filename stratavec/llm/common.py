@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,20 @@ from pyspark.sql import types as T
 
 from ..sources.scratch import drop, keep, new_path, shared_folder
 
-__all__ = ["byte_texts", "components", "drop", "forest", "keep", "new_path", "parts_for", "shared_folder", "with_fields", "wrapped"]
+__all__ = ["bounded", "byte_texts", "components", "drop", "forest", "keep", "new_path", "parts_for", "shared_folder", "with_fields", "wrapped"]
+
+
+#: Bytes of one Arrow batch handed to a Python worker at most. One longer row still makes a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The frame, its session's Arrow batches bounded in bytes: texts are long, and a batch is in memory several times. A
+    caller's own lower bound stays. The frame runs when the caller likes, so the setting has to stay too."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(re.sub(r"\D", "", conf.get(name)) or 0) <= BATCH_BYTES or conf.get(name).startswith("-"):
+        conf.set(name, str(BATCH_BYTES))
+    return df
 
 
 def with_fields(df: DataFrame, *more: tuple[str, str]) -> T.StructType:

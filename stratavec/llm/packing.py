@@ -41,7 +41,7 @@ def encoded_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int =
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return common.bounded(docs.select("doc_id", "text")).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:

@@ -110,7 +110,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         some = np.flatnonzero(sums.any(1))
         yield pa.record_batch([pa.array(some.astype(np.int32)), *[pa.array(sums[some, k]) for k in range(DIM)]], ["e", *[f"c{k}" for k in range(DIM)]])
 
-    counted = docs.select("text").mapInArrow(count, "e int, " + ", ".join(f"c{k} long" for k in range(DIM)))
+    counted = common.bounded(docs.select("text")).mapInArrow(count, "e int, " + ", ".join(f"c{k} long" for k in range(DIM)))
     found = counted.groupBy("e").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(DIM)]).toArrow()  # ENTRIES rows at most
     out = np.zeros((ENTRIES, DIM))
     for k in range(DIM):
@@ -232,7 +232,7 @@ def scored(docs: DataFrame, vectors: np.ndarray, network: Network | float) -> Da
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(found.astype(np.float64)), pa.array((found >= 0.5).astype(np.int32))], schema=pa.schema([*[batch.schema.field(n) for n in names], pa.field("_score", pa.float64()), pa.field("_predicted", pa.int32())]))
 
     names = docs.columns
-    return docs.mapInArrow(run, common.with_fields(docs, ("_score", "double"), ("_predicted", "int")))
+    return common.bounded(docs).mapInArrow(run, common.with_fields(docs, ("_score", "double"), ("_predicted", "int")))
 
 
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -165,7 +165,7 @@ def fingerprints(docs: DataFrame, words: int, planes: int = 1) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([fingerprint(t, words, planes) for t in common.byte_texts(batch.column(1))], pa.binary())], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {dict(docs.dtypes)['doc_id']}, fp binary")
+    return common.bounded(docs.select("doc_id", "text")).mapInArrow(make, f"doc_id {dict(docs.dtypes)['doc_id']}, fp binary")
 
 
 def set_fingerprints(docs: DataFrame, words: int, planes: int) -> DataFrame:

@@ -418,7 +418,7 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = keyed.join(spans, ["doc", "tag"], "left").select("doc_id", "text", "found")
-    return joined.mapInArrow(apply, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return common.bounded(joined).mapInArrow(apply, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def shortened(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -439,7 +439,7 @@ def shortened(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(out, pa.string())], schema=pa.schema([batch.schema.field("_row"), pa.field("_text", pa.string())]))
 
     joined = keyed.join(spans, ["doc", "tag"], "left").select("_row", "text", "found")
-    done = joined.mapInArrow(apply, common.with_fields(joined.select("_row"), ("_text", "string")))
+    done = common.bounded(joined).mapInArrow(apply, common.with_fields(joined.select("_row"), ("_text", "string")))
     new = {"text": F.when(F.col("_row.text").isNotNull(), F.col("_text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("_row.n_chars").isNotNull(), F.length("_text")).cast(dict(docs.dtypes)["n_chars"])

@@ -38,7 +38,7 @@ def with_lengths(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFra
             found = [sum(map(lengths.__getitem__, tokens.pieces(x or ""))) for x in batch.column(0).to_pylist()]
             yield pa.record_batch([pa.array(found, pa.int64())], ["n_tokens"])
 
-    return docs.select(text).mapInArrow(count, "n_tokens long")
+    return common.bounded(docs.select(text)).mapInArrow(count, "n_tokens long")
 
 
 def histogram(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:

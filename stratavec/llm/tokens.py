@@ -15,7 +15,7 @@ _ODD = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
 
 #: Bytes of one cache, and of a piece (or what is made of it) above which it isn't remembered: texts without spaces are
 #: one piece each, however long, and never come again.
-CACHE_BYTES, LONG = 128 << 20, 512
+CACHE_BYTES, LONG = 40 << 20, 512
 #: Bytes of an entry besides its key and value: its place in the table, at the table's least load.
 ENTRY = 120
 
@@ -50,11 +50,11 @@ def pieces(text: str) -> list[str]:
 
 
 class Cached(dict):
-    """What make(piece) gives, remembered while all that is remembered stays below CACHE_BYTES."""
+    """What make(piece) gives, remembered while all that is remembered stays below most bytes."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = CACHE_BYTES):
         super().__init__()
-        self.make, self.size = make, 0
+        self.make, self.most, self.size = make, most, 0
 
     def __missing__(self, piece):
         value = self.make(piece)
@@ -62,7 +62,7 @@ class Cached(dict):
         if size > 2 * LONG:
             return value
         self.size += size + ENTRY
-        if self.size > CACHE_BYTES:
+        if self.size > self.most:
             self.clear()
             self.size = size + ENTRY
         self[piece] = value

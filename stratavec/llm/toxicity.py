@@ -59,7 +59,7 @@ def document_counts(rows: DataFrame) -> np.ndarray:
         some = np.flatnonzero(counts.any(0))
         yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(counts[0, some]), pa.array(counts[1, some])], ["f", "n0", "n1"])
 
-    summed = rows.select("text", "y").mapInArrow(count, "f int, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    summed = common.bounded(rows.select("text", "y")).mapInArrow(count, "f int, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     found = summed.toArrow()  # a row for each place of the table at most
     out = np.zeros((2, (1 << BITS) + 1), np.int64)
     out[:, found["f"].to_numpy()] = found["n0"].to_numpy(), found["n1"].to_numpy()
@@ -136,7 +136,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             found = np.array([model.score(features(t)) for t in batch.column(1).to_pylist()], np.float64)
             yield pa.record_batch([batch.column(0), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, predicted int")
+    return common.bounded(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

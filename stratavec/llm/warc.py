@@ -118,7 +118,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "1970-0
                 out.append(_member(record(page_id, url, data, digest, refers_to, date)))
             yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
 
-    made = rows.join(owners, "sha", "left").select("page_id", "url", "payload", "sha", "owner").mapInArrow(make, "value binary")
+    made = common.bounded(rows.join(owners, "sha", "left").select("page_id", "url", "payload", "sha", "owner")).mapInArrow(make, "value binary")
     _write_members(made, folder, FILE_RECORDS)
 
 
@@ -143,7 +143,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (f.split() for f in _CAPTURE.split(", "))]))
 
     files = _files(spark, folder)
-    return files.mapInArrow(scan, _CAPTURE)
+    return common.bounded(files).mapInArrow(scan, _CAPTURE)
 
 
 class CaptureIndex:
