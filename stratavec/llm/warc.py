@@ -1,16 +1,20 @@
 """WARC archives with a two-level capture index.
 
 Archives are files of gzip members, a record each, written by Spark's own text writer: so they go to any store that
-Spark writes to, and a lost executor's files are written again by its commit protocol. Of pages with equal payloads
-the one with the largest page_id is written as response, the others as revisit records that refer to it.
+Spark writes to, and a lost executor's files are written again by its commit protocol. A file is closed once it has
+FILE_BYTES, so it has that and a record at most. Of pages with equal payloads the one with the largest page_id is written as
+response, the others as revisit records that refer to it.
 
 The index is made from what is read back. Its lines, sorted by reversed-host key, lie in compressed blocks; a sparse
-directory has the first and last key and the place of each block. A lookup searches the directory, then the block by
-bisection, and reads only the byte ranges that it needs.
+directory has a line for each block, sorted too: first and last key, file, offset and length. A lookup bisects the
+directory's files and then the lines of one, by reads of a few kilobytes, then bisects a block, and reads only the byte
+ranges that it needs; neither level is ever held whole.
 
-Null html is an empty payload; a null url is an empty one. Rows with a null page_id are written, but own no payload
-unless all rows with it have none; then each is a response. Rows that share the largest page_id of a payload are all
-responses. Payloads below min_bytes are always responses. No pages give no archives, an empty index and no rows."""
+Null html is an empty payload; a null url is an empty one. Pages of any length are written whole; a page and its record must
+fit a row, 2 GB. Rows with a null page_id are written, but own no payload unless all rows with it have none; then each is a
+response. Rows that share the largest page_id of a payload are all responses. Payloads below min_bytes are always responses.
+No pages give no archives, an empty index and no rows. Ids are longs. Only page_id, url and html are read, so other columns
+of any name don't matter."""
 
 from __future__ import annotations
 
@@ -30,10 +34,12 @@ from . import common
 
 #: Appended to members that don't end with a zero byte; its last byte is zero, as are those of members of less than 16 MB.
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
-FILE_RECORDS = 5_000
-BLOCK_LINES = 3_000
+#: Bytes at which an archive file is closed, lines of a block, blocks of a file, bytes read at once from the directory.
+FILE_BYTES = 32 << 20
+BLOCK_LINES, FILE_BLOCKS, PROBE = 3_000, 500, 4_096
 _CAPTURE = "key string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, path string, offset long, length long"
 _FIELDS = [f.split()[0] for f in _CAPTURE.split(", ")]
+_BLOCK = (("first_key", "string"), ("last_key", "string"), ("path", "string"), ("offset", "long"), ("length", "long"))
 
 
 def key_of(url: str | None) -> str:
@@ -48,9 +54,13 @@ def key_of(url: str | None) -> str:
 
 
 def _member(data: bytes) -> bytes:
-    """A gzip member without the zero byte that ends it; the writer's line separator adds that."""
-    out = gzip.compress(data, 6, mtime=0)
-    return (out if len(data) < 1 << 24 else out + EMPTY_MEMBER)[:-1]
+    return gzip.compress(data, 6, mtime=0)
+
+
+def _row(found: list[bytes]) -> bytes:
+    """Members as a row of the text writer: without the zero byte that ends it, which the line separator adds."""
+    data = b"".join(found)
+    return (data if data.endswith(b"\0") else data + EMPTY_MEMBER)[:-1]
 
 
 def members(content: bytes):
@@ -110,19 +120,25 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "1970-0
     owners = common.keep(sized.groupBy("sha").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1").select("sha", "owner"), "owners")
 
     def make(batches):
+        out, size = [], 0
         for batch in batches:
-            out = []
             for page_id, url, data, sha, owner in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
                 refers_to = owner if owner is not None and owner != page_id and len(data) >= min_bytes else None
                 out.append(_member(record(page_id, url, data, digest, refers_to, date)))
-            yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
+                size += len(out[-1])
+                if size >= FILE_BYTES:
+                    yield pa.record_batch([pa.array([_row(out)], pa.binary())], ["value"])
+                    out, size = [], 0
+        if out:
+            yield pa.record_batch([pa.array([_row(out)], pa.binary())], ["value"])
 
     made = common.bounded(rows.join(owners, "sha", "left").select("page_id", "url", "payload", "sha", "owner")).mapInArrow(make, "value binary")
-    _write_members(made, folder, FILE_RECORDS)
+    _write_rows(made, folder, 1)
+    common.drop(owners)
 
 
-def _write_members(made: DataFrame, folder: str, per_file: int) -> None:
+def _write_rows(made: DataFrame, folder: str, per_file: int) -> None:
     made.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(folder)
 
 
@@ -147,11 +163,17 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 
 class CaptureIndex:
-    """Blocks of sorted lines in files, and the directory of blocks as a table."""
+    """Blocks of sorted lines in files, and the sorted directory of blocks."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.blocks = spark, f"{folder}/blocks"
-        self.directory = spark.read.schema("first_key string, last_key string, path string, offset long, length long").parquet(f"{folder}/directory")
+        self.spark, self.folder, self.blocks = spark, folder, f"{folder}/blocks"
+        self._listed: list[tuple[str, int]] | None = None
+
+    @property
+    def directory(self) -> DataFrame:
+        """(first_key, last_key, path, offset, length) of every block."""
+        line = F.split("value", "\t")
+        return self.spark.read.text(f"{self.folder}/directory").select(*[line[k].cast(t).alias(n) for k, (n, t) in enumerate(_BLOCK)])
 
     @classmethod
     def build(cls, captures: DataFrame, folder: str) -> CaptureIndex:
@@ -159,7 +181,7 @@ class CaptureIndex:
 
         def pack(batches):
             lines: list[str] = []
-            cut = lambda some: pa.record_batch([pa.array([_member("\n".join(some).encode())], pa.binary())], ["value"])
+            cut = lambda some: pa.record_batch([pa.array([_row([_member("\n".join(some).encode())])], pa.binary())], ["value"])
             for batch in batches:
                 for row in batch.to_pylist():
                     lines.append(row["key"] + " " + json.dumps([row[f] for f in _FIELDS[1:]]))
@@ -179,9 +201,11 @@ class CaptureIndex:
                     yield pa.RecordBatch.from_pylist(rows, pa.schema([("first_key", pa.string()), ("last_key", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
 
         order = ["key", "page_id", "path", "offset"]  # a host or url with many captures is split too
-        _write_members(captures.select(*_FIELDS).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, "value binary"), f"{folder}/blocks", 1000)
-        directory = _files(spark, f"{folder}/blocks").mapInArrow(listed, "first_key string, last_key string, path string, offset long, length long")
-        directory.repartitionByRange("first_key", "path", "offset").sortWithinPartitions("first_key").write.parquet(f"{folder}/directory")
+        _write_rows(captures.select(*_FIELDS).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, "value binary"), f"{folder}/blocks", FILE_BLOCKS)
+        entries = common.keep(_files(spark, f"{folder}/blocks").mapInArrow(listed, ", ".join(f"{n} {t}" for n, t in _BLOCK)), "entries")
+        order = ["first_key", "path", "offset"]
+        entries.repartitionByRange(*order).sortWithinPartitions(*order).select(F.concat_ws("\t", *[F.col(n).cast("string") for n, _ in _BLOCK]).alias("value")).write.text(f"{folder}/directory")
+        common.drop(entries)
         return cls(spark, folder)
 
     def rows(self) -> DataFrame:
@@ -197,21 +221,74 @@ class CaptureIndex:
 
         return _files(self.spark, self.blocks).mapInArrow(scan, _CAPTURE)
 
+    def _fs(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def _range(self, path: str, offset: int, length: int) -> bytes:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        stream = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+        at, fs = self._fs(path)
+        stream = fs.open(at)
         try:
             stream.seek(offset)
-            return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length))
+            return bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length))
         finally:
             stream.close()
 
+    def _directory_files(self) -> list[tuple[str, int]]:
+        """(path, bytes) of the directory's files, in the order of their keys."""
+        if self._listed is None:
+            at, fs = self._fs(f"{self.folder}/directory")
+            found = [(f.getPath(), f.getLen()) for f in fs.listStatus(at)]
+            named = [(int(p.getName().split("-")[1]), p.toString(), n) for p, n in found if p.getName().startswith("part-") and n]
+            self._listed = [(p, n) for _, p, n in sorted(named)]
+        return self._listed
+
+    def _line(self, path: str, size: int, at: int) -> tuple[int, bytes]:
+        """The first line that begins at or after a place, and where; at the file's end, nothing."""
+        start, data = max(at - 1, 0), b""
+        while True:
+            part = self._range(path, start + len(data), min(PROBE, size - start - len(data)))
+            data += part
+            begin = 0 if at == 0 else data.find(b"\n") + 1
+            end = data.find(b"\n", begin) if begin or at == 0 else -1
+            if end >= 0 or start + len(data) >= size:
+                found = data[begin:end] if end >= 0 else b""
+                return (start + begin, found) if found else (size, b"")
+
+    def _entries(self, key: str):
+        """Entries of the directory from the last one whose block begins before key, to the last that may hold it."""
+        wanted = key.encode()
+        before = lambda line: line.split(b"\t", 1)[0] < wanted
+        files = self._directory_files()
+        first = max(bisect.bisect_left(files, True, key=lambda f: not before(self._line(*f, 0)[1])) - 1, 0)
+        for n, (path, size) in enumerate(files[first:]):
+            at = 0
+            if n == 0:
+                low, high = 0, size  # the last line that begins in [low, high) and before key
+                while low < high:
+                    middle = (low + high) // 2
+                    begin, line = self._line(path, size, middle)
+                    if line and begin < high and before(line):
+                        at, low = begin, begin + 1
+                    else:
+                        high = middle
+            while at < size:
+                begin, line = self._line(path, size, at)
+                if not line:
+                    break
+                first_key, last_key, block, offset, length = line.decode().split("\t")
+                if first_key > key:
+                    return
+                yield first_key, last_key, block, int(offset), int(length)
+                at = begin + len(line) + 1
+
     def lookup(self, url: str) -> list[dict]:
-        """The captures of a url by page_id. The directory is sorted, so its file statistics leave few rows to look at."""
+        """The captures of a url by page_id."""
         key, out = key_of(url), []
-        for block in self.directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("first_key", "path", "offset").toLocalIterator():
-            lines = gzip.decompress(self._range(block.path, block.offset, block.length)).decode().split("\n")
+        for _, last_key, path, offset, length in self._entries(key):
+            if last_key < key:
+                continue
+            lines = gzip.decompress(self._range(path, offset, length)).decode().split("\n")
             at = bisect.bisect_left(lines, key, key=lambda line: line.split(" ", 1)[0])
             while at < len(lines) and lines[at].split(" ", 1)[0] == key:
                 out.append(dict(zip(_FIELDS, [key, *json.loads(lines[at].split(" ", 1)[1])], strict=True)))
@@ -228,7 +305,9 @@ def archive(pages: DataFrame, folder: str, min_bytes: int = 0) -> CaptureIndex:
     spark = pages.sparkSession
     write(pages, f"{folder}/archives", min_bytes)
     captures = common.keep(read(spark, f"{folder}/archives"), "captures")
-    return CaptureIndex.build(captures, f"{folder}/index")
+    index = CaptureIndex.build(captures, f"{folder}/index")
+    common.drop(captures)
+    return index
 
 
 #: Base32 is built from the hexadecimal digest, five bits at a time.

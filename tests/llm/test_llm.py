@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stratavec.llm import bpe, common, packing, quality_classifier, quality_rules, queries, simhash, suffix_dedup, token_counts, tokens, topk, toxicity, warc
+from stratavec.sources.scratch import settings as spark_settings
 
 WORD_BPE = tokens.tokenizer_path("word_bpe_49k.json")
 MULTI = tokens.tokenizer_path("byte_bpe_multi_50k.tiktoken")
@@ -409,11 +410,34 @@ def test_small_blocks_and_small_payloads(spark, monkeypatch):
     assert sum(r.record_type == "response" for r in rows if r.payload_bytes >= 3) == 2
 
 
+def test_lookups_bisect_a_directory_of_many_files(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 2)
+    monkeypatch.setattr(warc, "PROBE", 150)
+    monkeypatch.setattr(warc, "FILE_BYTES", 600)
+    rng = random.Random(12)
+    urls = [f"http://h{rng.randrange(40)}.org/{'x' * rng.randrange(60)}{rng.randrange(5)}" for _ in range(300)] + ["http://hot.org/"] * 40
+    pages = spark.createDataFrame([(i, u, f"page {i % 50}", "extra") for i, u in enumerate(urls)], "page_id long, url string, html string, payload string").repartition(6)
+    folder = common.new_path(spark, "warc")
+    with spark_settings(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        index = warc.archive(pages, folder)
+    assert index.directory.count() >= 340 // 2
+    assert len(index._directory_files()) > 1
+    sizes = [r.length for r in spark.read.format("binaryFile").load(f"{folder}/archives").select("length").collect()]
+    assert len(sizes) > 6 and max(sizes) < 600 + 600
+    want = collections.defaultdict(list)
+    for i, u in enumerate(urls):
+        want[u].append(i)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    for u in [*rng.sample(sorted(want), 25), "http://hot.org/", "http://a.org/", "http://zzz.org/", "http://h1.org/none"]:
+        assert [c["page_id"] for c in index.lookup(u)] == want.get(u, [])
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == jobs  # no Spark job
+
+
 def test_members_of_any_size_end_with_zero():
     big = b"x" * ((1 << 24) + 5)
     for data in (b"", b"a", big):
-        member = warc._member(data) + b"\0"
-        assert b"".join(d for _, _, d in warc.members(member * 2)) == data * 2
+        row = warc._row([warc._member(data), warc._member(data)]) + b"\0"
+        assert b"".join(d for _, _, d in warc.members(row)) == data * 2
     with pytest.raises(ValueError):
         list(warc.members(warc._member(b"abc" * 100)[:20]))
     record = warc.record(1, "http://a.org", b"payload", "A" * 32, None, "1970-01-01T00:00:00Z")
