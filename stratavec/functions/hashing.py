@@ -72,12 +72,19 @@ class HashFamily:
     def dots(self, v: Column) -> Column:
         return F.transform(F.lit([list(r) for r in self.a]), lambda p: vectors.dot(v, p))
 
-    def bins(self, v: Column, radius: float = 1.0) -> Column:
-        """All hashes as ints, table after table; radius widens the bins."""
+    def shifted(self, v: Column) -> Column:
+        """All hashes before they are cut into bins."""
+        return self.dots(v) if self.metric == "cosine" else F.zip_with(self.dots(v), F.lit(list(self.b)), lambda x, b: x + b)
+
+    def bins_of(self, shifted: Column, radius: float = 1.0) -> Column:
+        """Such hashes as ints; radius widens the bins."""
         if self.metric == "cosine":
-            return F.transform(self.dots(v), lambda x: (x > 0).cast("int"))
-        width = self.width * radius
-        return F.zip_with(self.dots(v), F.lit(list(self.b)), lambda x, b: F.floor((x + b) / width).cast("int"))
+            return F.transform(shifted, lambda x: (x > 0).cast("int"))
+        return F.transform(shifted, lambda x: F.floor(x / (self.width * radius)).cast("int"))
+
+    def bins(self, v: Column, radius: float = 1.0) -> Column:
+        """All hashes as ints, table after table."""
+        return self.bins_of(self.shifted(v), radius)
 
     def bins_arrow(self, radius: float = 1.0):
         """The same as one matrix product per Arrow batch; for large tables, where a sum's order may not matter."""

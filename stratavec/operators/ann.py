@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..functions.hashing import HashFamily
-from ..sources.scratch import keep
+from ..functions.hashing import HashFamily, bucket_key
+from ..sources.scratch import keep as scratch_keep
 
 #: Queries of one block of exact search.
 BLOCK = 1024
@@ -53,11 +53,17 @@ def exact_knn_blocks(points: DataFrame, queries: np.ndarray, query_ids: np.ndarr
     return ranked(points.select("id", "v").mapInPandas(search, "q_id long, id long, dist double"), k)
 
 
-def build_index(points: DataFrame, family: HashFamily, radius: float = 1.0, arrow: bool = False) -> DataFrame:
-    """(id, table_id, bucket_key): one row per point and table."""
+def build_index(points: DataFrame, family: HashFamily, radius: float = 1.0, arrow: bool = False, keep: tuple[str, ...] = (), dots: bool = False) -> DataFrame:
+    """(id, table_id, bucket_key, and columns to keep): one row per point and table; with dots also the table's hashes before
+    they are cut into bins."""
+    if dots:
+        hashed = points.select("id", *keep, family.shifted(F.col("v")).alias("dots"))
+        tables = hashed.withColumn("table_id", F.explode(F.sequence(F.lit(0), F.lit(family.tables - 1))))
+        own = F.slice("dots", F.col("table_id") * family.hashes + 1, family.hashes)
+        return tables.withColumn("dots", own).select("id", "table_id", bucket_key(family.bins_of(F.col("dots"), radius)).alias("bucket_key"), "dots", *keep)
     bins = family.bins_arrow(radius)(F.col("v")) if arrow else family.bins(F.col("v"), radius)
-    hashed = points.select("id", bins.alias("bins"))
-    return hashed.select("id", F.posexplode(family.keys_of(F.col("bins"))).alias("table_id", "bucket_key"))
+    hashed = points.select("id", *keep, bins.alias("bins"))
+    return hashed.select("id", F.posexplode(family.keys_of(F.col("bins"))).alias("table_id", "bucket_key"), *keep)
 
 
 def bucket_sizes(index: DataFrame) -> DataFrame:
@@ -93,17 +99,33 @@ def hash_knn(points: DataFrame, queries: DataFrame, index: DataFrame, family: Ha
     return rerank(candidates(queries, index, family, probes), points, queries, k, metric or family.metric)
 
 
+def adaptive_search(index: DataFrame, queries: DataFrame, family: HashFamily, k: int, radii: list[float], probes: int = 1, exclude_self: bool = True) -> DataFrame:
+    """(q_id, id, level): candidates of the first radius whose buckets hold at least 3k of them, of the last one for queries
+    that none satisfies. Points are cut into wider bins from the index's dots; only queries still short of candidates go on
+    to the next radius. For cosine, whose bins have no width, a level probes so many more flips of bits instead."""
+    found, open_ = None, queries.select("q_id", "v")
+    for level, radius in enumerate(radii):
+        cosine = family.metric == "cosine"
+        wider = index if level == 0 or cosine else index.withColumn("bucket_key", bucket_key(family.bins_of(F.col("dots"), radius)))
+        more = candidates(open_, wider, family, probes + level * family.hashes if cosine else probes, radius)
+        if exclude_self:
+            more = more.where("q_id <> id")
+        more = scratch_keep(more.withColumn("level", F.lit(level)), "candidates")
+        if level == len(radii) - 1:
+            return more if found is None else found.unionByName(more)
+        enough = scratch_keep(more.groupBy("q_id").agg(F.count("*").alias("n")).where(F.col("n") >= 3 * k).select("q_id"), "enough")
+        done = more.join(enough, "q_id", "left_semi")
+        found = done if found is None else found.unionByName(done)
+        open_ = scratch_keep(open_.join(enough, "q_id", "left_anti"), "open")
+        if open_.isEmpty():
+            return found
+    raise ValueError("no radius to search")
+
+
 def adaptive_candidates(points: DataFrame, queries: DataFrame, family: HashFamily, k: int, levels: int = 5, expansion: float = 2.0, radius: float = 1.0) -> DataFrame:
-    """(q_id, id, level): candidates of the first level whose widened buckets hold at least 3k of them, of the last
-    level for queries that no level satisfies. Both sides are hashed at each level."""
-    found = None
-    for level in range(levels):
-        r = radius * expansion**level
-        more = candidates(queries, build_index(points, family, r), family, radius=r).where("q_id <> id").withColumn("level", F.lit(level))
-        found = more if found is None else found.unionByName(more)
-    sizes = found.groupBy("q_id", "level").agg(F.count("*").alias("n"))
-    chosen = sizes.groupBy("q_id").agg(F.coalesce(F.min(F.when(F.col("n") >= 3 * k, F.col("level"))), F.max("level")).alias("level"))
-    return found.join(chosen, ["q_id", "level"]).select("q_id", "id", "level")
+    """The same over points, hashed once."""
+    index = scratch_keep(build_index(points, family, dots=True), "index")
+    return adaptive_search(index, queries, family, k, [radius * expansion**i for i in range(levels)])
 
 
 def radius_neighbours(points: DataFrame, eps: float, metric: str = "euclidean", pivots: list[list[float]] | None = None) -> DataFrame:
@@ -141,6 +163,6 @@ def with_density(points: DataFrame, key: Column, inverse: bool = True, eps: floa
     """Add bucket_key, bucket_size and weight: 1 / (size + eps), or the size. Sizes are pre-aggregated, written and joined,
     so that a bucket of any size is neither sorted nor held by one task."""
     keyed = points.withColumn("bucket_key", key)
-    sizes = keep(keyed.groupBy("bucket_key").agg(F.count("*").alias("bucket_size")), "sizes")
+    sizes = scratch_keep(keyed.groupBy("bucket_key").agg(F.count("*").alias("bucket_size")), "sizes")
     out = keyed.join(sizes, "bucket_key")
     return out.withColumn("weight", 1 / (F.col("bucket_size") + eps) if inverse else F.col("bucket_size").cast("double"))

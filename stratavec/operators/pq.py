@@ -296,6 +296,14 @@ class DiffusionMap:
         values = np.maximum(values.real[order], 1e-12)
         return cls(x, directions.real[:, order] * values**alpha, values, gamma)
 
+    def to_json(self) -> str:
+        return json.dumps([self.landmarks.tolist(), self.coordinates.tolist(), self.values.tolist(), self.gamma])
+
+    @classmethod
+    def from_json(cls, text: str) -> DiffusionMap:
+        landmarks, coordinates, values, gamma = json.loads(text)
+        return cls(np.array(landmarks), np.array(coordinates), np.array(values), gamma)
+
     @staticmethod
     def _affinity(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
         d = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0)

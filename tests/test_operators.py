@@ -1,6 +1,8 @@
 """Vector operators against numpy on clouds of points."""
 
 import math
+import os
+import re
 
 import numpy as np
 import pytest
@@ -194,7 +196,7 @@ def test_tuning(cloud):
 def test_engine(spark, tmp_path, cloud):
     engine = Engine(spark, f"file://{tmp_path}/engine")
     assert engine.health() == {"status": "ok"}
-    engine.create_dataset("a", 8, w=2.0, k=2, pq_num_subspaces=4, pq_num_clusters=8)
+    engine.create_dataset("a", 8, w=2.0, k=2, pq_num_subspaces=4, pq_num_clusters=8, sampling_ratio=1.0)
     with pytest.raises(ValueError):
         engine.create_dataset("a", 8)
     with pytest.raises(ValueError):
@@ -225,6 +227,97 @@ def test_engine(spark, tmp_path, cloud):
         engine.points("copy")
 
 
+def test_catalog_survives_an_interrupted_and_a_second_writer(spark, tmp_path, monkeypatch):
+    import threading
+
+    engine = Engine(spark, f"file://{tmp_path}/engine")
+    engine.create_dataset("a", 2)
+    (tmp_path / "engine/datasets/data-lost").mkdir()  # a writer lost while it wrote its table
+    entry = tmp_path / "engine/datasets/log/000000000001"
+    entry.touch()  # and one lost before it filled its entry
+    os.utime(entry, (1, 1))
+    engine.create_dataset("b", 2)
+    assert sorted(r.name for r in engine.datasets().collect()) == ["a", "b"]
+    failed = []
+
+    def add(k):
+        try:
+            Engine(spark, engine.folder).create_dataset(f"c{k}", 2)
+        except Exception as error:
+            failed.append(error)
+
+    threads = [threading.Thread(target=add, args=(k,)) for k in range(4)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert not failed
+    assert sorted(r.name for r in engine.datasets().collect()) == ["a", "b", "c0", "c1", "c2", "c3"]
+
+
+def test_index_and_codes_are_stored_and_grow(spark, tmp_path, cloud):
+    engine = Engine(spark, f"file://{tmp_path}/engine")
+    engine.create_dataset("a", 8, w=4.0, k=2, sampling_ratio=1.0, quantization_method="hybrid", pq_num_subspaces=4, pq_num_clusters=16)
+    engine.ingest("a", cloud.where("id < 20"), "one")
+    assert not engine._versions("codebooks/a")  # too few points yet
+    runs = lambda kind: sorted(p.name for p in (tmp_path / f"engine/{kind}/a").glob("*/run-*"))
+    first = runs("index")
+    assert len(first) == 1
+    engine.ingest("a", cloud.where("id >= 20 AND id < 200"), "two")
+    assert engine._versions("codebooks/a")  # trained on ingest
+    assert set(first) < set(runs("index"))
+    engine.ingest("a", cloud.where("id >= 200"), "two")  # replaces the second batch
+    assert len(runs("index")) == 3
+    live = cloud.where("id < 20 OR id >= 200").select("id", "v")
+    rows = lambda d: sorted(tuple(r) for r in d.select("id", "table_id", "bucket_key").collect())
+    assert rows(engine.index("a")) == rows(ann.build_index(live, engine.family("a")))
+    assert engine.codes("a").count() == 120
+    before = runs("index") + runs("codes")
+    asked = cloud.where("id < 5").select(F.col("id").alias("q_id"), "v")
+    assert engine.query("a", asked, 3).count() == 15
+    assert runs("index") + runs("codes") == before  # queries make nothing anew
+    names = {r.batch_id: r.features_hash for r in engine.batches().collect()}
+    shuffled = Engine(spark, f"file://{tmp_path}/other")
+    shuffled.create_dataset("a", 8)
+    shuffled.ingest("a", cloud.where("id >= 200").repartition(5), "two")
+    assert shuffled.batches().first().features_hash == names["two"] != names["one"]
+    assert len(names["two"]) == 64
+    assert re.fullmatch(r"batch_[0-9a-f]{16}_\d{8}_\d{6}", shuffled.ingest("a", cloud.where("id < 9")))
+
+
+def test_adaptive_search_uses_the_tuned_radius(spark, tmp_path, cloud):
+    engine = Engine(spark, f"file://{tmp_path}/engine")
+    engine.create_dataset("a", 8, w=0.05, k=3, sampling_ratio=1.0, initial_radius=8.0, radius_expansion=3.0)
+    engine.ingest("a", cloud, "one")
+    asked = cloud.where("id < 20").select(F.col("id").alias("q_id"), "v")
+    found = engine.candidates("a", asked, 5, exclude_self=True)
+    plain = ann.adaptive_candidates(cloud, asked, engine.family("a"), 5, levels=1)
+    assert found.count() > plain.count()
+    assert found.agg(F.max("level")).first()[0] > 0
+    truth = ann.exact_knn(cloud, asked, 5)
+    assert ann.overlap(truth, engine.query("a", asked, 5, exclude_self=True), 5).first().recall > ann.overlap(truth, engine.query("a", asked, 5, exclude_self=True, levels=1), 5).first().recall
+
+
+def test_diffusion_is_applied_to_points_and_queries(spark, tmp_path, cloud):
+    engine = Engine(spark, f"file://{tmp_path}/engine")
+    engine.create_dataset("a", 8, quantization_method="pq", pq_num_subspaces=4, pq_num_clusters=32)
+    engine.ingest("a", cloud, "one")
+    asked = cloud.where("id < 60").select(F.col("id").alias("q_id"), "v")
+    truth = ann.exact_knn(cloud, asked, 10)
+    engine.train_pq("a", diffusion=True)
+    book, map_ = engine._quantizer("a")
+    assert book.dim == 4
+    assert np.allclose(map_.coordinates, type(map_).from_json(map_.to_json()).coordinates)
+    turned = cloud.select("id", map_.extend()("v").alias("v"))
+    codes = turned.select("id", book.encode_arrow()("v").alias("pq_code"))
+    assert sorted((r.id, *r.pq_code) for r in engine.codes("a").collect()) == sorted((r.id, *r.pq_code) for r in codes.collect())
+    clouds = cloud.select("id", "label") if "label" in cloud.columns else None
+    found = engine.query("a", asked, 10, exclude_self=True)
+    assert ann.overlap(truth, found, 10).first().recall > 0.2
+    assert clouds is None or found.join(clouds, "id").join(clouds.select(F.col("id").alias("q_id"), F.col("label").alias("own")), "q_id").agg(F.avg((F.col("label") == F.col("own")).cast("double"))).first()[0] > 0.9
+    engine.save("a", f"file://{tmp_path}/saved")
+    engine.load(f"file://{tmp_path}/saved", "copy")
+    assert sorted(map(tuple, engine.query("copy", asked, 10, exclude_self=True).collect())) == sorted(map(tuple, found.collect()))
+
+
 def test_stream_into_the_catalog(spark, tmp_path, cloud):
     cloud.select("id", "v").repartition(3).write.parquet(f"file://{tmp_path}/in")
     engine = Engine(spark, f"file://{tmp_path}/engine")
