@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..functions.hashing import HashFamily, bucket_key
 from ..sources.scratch import keep as scratch_keep
+from .blocks import near_pairs
 
 #: Queries of one block of exact search.
 BLOCK = 1024
@@ -128,29 +129,10 @@ def adaptive_candidates(points: DataFrame, queries: DataFrame, family: HashFamil
     return adaptive_search(index, queries, family, k, [radius * expansion**i for i in range(levels)])
 
 
-def radius_neighbours(points: DataFrame, eps: float, metric: str = "euclidean", pivots: list[list[float]] | None = None) -> DataFrame:
-    """(a, b, dist) for a < b at most eps apart. Distances to a pivot differ by at most the distance of the points
-    (the triangle inequality, for metrics that obey it), so points meet only in equal or adjacent shells of width eps
-    around each of up to two pivots; pairs that meet are then measured. Cosine is not a metric and has no shells."""
-    measure = vectors.distance(metric)
-    base = points.select("id", "v")
-    if metric == "cosine":
-        pairs = base.select(F.col("id").alias("a"), F.col("v").alias("va")).join(base.select(F.col("id").alias("b"), F.col("v").alias("vb")), F.col("a") < F.col("b"))
-    else:
-        pivots = (pivots or [[0.0]])[:2]
-
-        def shell(pivot: list[float]) -> Column:
-            """A pivot of fewer numbers than the points is filled up with zeros."""
-            filled = F.transform(F.col("v"), lambda x, i: F.coalesce(F.get(F.lit(pivot), i), F.lit(0.0)))
-            return F.floor(measure(F.col("v"), filled) / eps)
-
-        shells = [shell(p) for p in pivots]
-        left = base.select(F.col("id").alias("a"), F.col("v").alias("va"), *[s.alias(f"s{k}") for k, s in enumerate(shells)])
-        right = base.select(F.col("id").alias("b"), F.col("v").alias("vb"), *[s.alias(f"s{k}") for k, s in enumerate(shells)])
-        for k in range(len(pivots)):
-            right = right.withColumn(f"s{k}", F.explode(F.array(*[F.col(f"s{k}") + d for d in (-1, 0, 1)])))
-        pairs = left.join(right, [f"s{k}" for k in range(len(pivots))]).where("a < b")
-    return pairs.select("a", "b", measure(F.col("va"), F.col("vb")).alias("dist")).where(F.col("dist") <= eps)
+def radius_neighbours(points: DataFrame, eps: float, metric: str = "euclidean", cells: int | None = None) -> DataFrame:
+    """(a, b, dist) for a < b at most eps apart: see blocks.near_pairs."""
+    vectors.distance(metric)  # refuses unknown ones
+    return near_pairs(points, eps, metric, cells)
 
 
 def overlap(truth: DataFrame, found: DataFrame, k: int) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import keep
+
 
 def expectation(sample: DataFrame, target: Column, weight: str = "weight") -> DataFrame:
     """(expectation): the weighted mean."""
@@ -33,14 +37,40 @@ def component_means(rows: DataFrame, weight: Column | None = None) -> DataFrame:
 
 
 def covariance(rows: DataFrame) -> DataFrame:
-    """(i, j, cov) of the components of v, i <= j, from one pass of sums: a row of d * (d + 1) / 2 products a vector."""
-    both = rows.select("v", F.posexplode("v").alias("i", "x")).select("i", "x", F.posexplode(F.expr("slice(v, i + 1, size(v))")).alias("k", "y"))
-    return both.groupBy("i", (F.col("i") + F.col("k")).alias("j")).agg(F.covar_samp("x", "y").alias("cov"))
+    """(i, j, cov) of the components of v, i <= j: each task adds up one matrix product a batch, of vectors less their mean,
+    and sends a row a pair of components."""
+
+    def mean(batches):
+        n, s = 0, None
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch["v"].to_numpy()).astype(np.float64)
+                n, s = n + len(x), x.sum(0) + (0 if s is None else s)
+        if n:
+            yield pd.DataFrame({"i": np.arange(len(s), dtype=np.int32), "s": s, "n": n})
+
+    sums = rows.select("v").mapInPandas(mean, "i int, s double, n long").groupBy("i").agg((F.sum("s") / F.sum("n")).alias("m")).orderBy("i").collect()  # a row a component
+    centre = np.array([r.m for r in sums])
+
+    def products(batches):
+        n, s, p = 0, np.zeros(len(centre)), np.zeros((len(centre), len(centre)))
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch["v"].to_numpy()).astype(np.float64) - centre
+                n, s, p = n + len(x), s + x.sum(0), p + x.T @ x
+        if n:
+            i, j = np.triu_indices(len(centre))
+            yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "n": n, "si": s[i], "sj": s[j], "p": p[i, j]})
+
+    parts = rows.select("v").mapInPandas(products, "i int, j int, n long, si double, sj double, p double").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "p")])
+    return parts.select("i", "j", ((F.col("p") - F.col("si") * F.col("sj") / F.col("n")) / F.when(F.col("n") > 1, F.col("n") - 1)).alias("cov"))
 
 
 def compare(original: DataFrame, sampled: DataFrame, weight: Column | None = None) -> DataFrame:
     """(mean_diff, cov_diff): norms of the differences of means and of covariance matrices; the second is null for a
-    weighted sample."""
+    weighted sample. The sample is written first, as it is read several times."""
+    sampled = keep(sampled.withColumn("_w", weight) if weight is not None else sampled.select("v"), "sample")
+    weight = weight if weight is None else F.col("_w")
     means = component_means(original).alias("a").join(component_means(sampled, weight).alias("b"), "pos")
     mean = means.agg(F.sqrt(F.sum(F.pow(F.col("a.mean") - F.col("b.mean"), 2))).alias("mean_diff"))
     if weight is not None:

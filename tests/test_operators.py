@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stratavec.functions import hashing, vectors
 from stratavec.functions.hashing import HashFamily
-from stratavec.operators import ann, dbscan, estimators, gradient, kmeans, metrics, pq, projection, sampling, tuning
+from stratavec.operators import ann, blocks, dbscan, estimators, gradient, kmeans, metrics, pq, projection, sampling, tuning
 from stratavec.sources import vectors as sources
 from stratavec.sources.catalog import Engine
 from stratavec.sources.reports import Report
@@ -68,12 +68,62 @@ def test_more_probes_find_more(cloud, metric):
     assert few.where("q_id = id").count() == q.count()
 
 
-def test_radius_neighbours_with_pivots(cloud, local):
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "cosine"])
+def test_radius_neighbours_in_blocks(spark, cloud, local, metric, monkeypatch):
     x, _ = local
-    d = np.linalg.norm(x[:, None] - x[None], axis=2)
-    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if d[i, j] <= 1.5}
-    for pivots in (None, [[1.0] * 8, [-3.0, 2.0]]):
-        assert {(r.a, r.b) for r in ann.radius_neighbours(cloud, 1.5, pivots=pivots).collect()} == want
+    x = np.concatenate([x, x[:3], np.zeros((2, 8))])  # copies and vectors without a direction
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    d = blocks.matrix(x, x, metric)
+    eps = {"euclidean": 1.5, "manhattan": 3.0, "cosine": 0.01}[metric]
+    want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if d[i, j] <= eps}
+    monkeypatch.setattr(blocks, "ROWS", 16)
+    for cells in (None, 7):
+        got = ann.radius_neighbours(points, eps, metric, cells).collect()
+        assert {(r.a, r.b) for r in got} == want
+        assert len(got) == len(want)
+        assert np.allclose([r.dist for r in got], [d[r.a, r.b] for r in got])
+    assert ann.radius_neighbours(points.limit(0), 1.0).isEmpty()
+
+
+def test_far_blocks_never_meet(spark, monkeypatch):
+    """Clouds far apart: few of all pairs of blocks are measured."""
+    monkeypatch.setattr(blocks, "ROWS", 20)
+    points = sources.blobs(spark, 1000, dim=2, centres=10, spread=0.01).select("id", "v")
+    looked = spark.sparkContext.accumulator(0)
+    measure = blocks._upper
+
+    def counted(*args):
+        looked.add(1)
+        return measure(*args)
+
+    monkeypatch.setattr(blocks, "_upper", counted)
+    assert blocks.near_pairs(points, 0.05, cells=30).count() > 0
+    assert looked.value < 0.25 * 120 * 121 / 2  # about 120 blocks, 30 cells in each of 4 tasks
+
+
+def test_quantiles_of_all_pairs(cloud, local):
+    x, _ = local
+    for metric in ("euclidean", "manhattan", "cosine"):
+        d = blocks.matrix(x, x, metric)[np.triu_indices(len(x), 1)]
+        found, mean = blocks.quantiles(cloud, [0.0, 0.1, 0.25, 0.5, 1.0], metric, bins=16, few=50)
+        assert np.allclose(found, np.percentile(d, [0, 10, 25, 50, 100]), atol=1e-9)
+        assert mean == pytest.approx(d.mean())
+    assert blocks.quantiles(cloud.limit(1), [0.5]) == ([None], None)
+    same = cloud.select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
+    assert blocks.quantiles(same, [0.1, 0.9], few=5) == ([0.0, 0.0], 0.0)
+
+
+def test_covariance_is_numpys(cloud, local):
+    x, _ = local
+    got = np.zeros((8, 8))
+    for r in estimators.covariance(cloud.withColumn("v", F.transform("v", lambda a: a + 1e6))).collect():
+        got[r.i, r.j] = got[r.j, r.i] = r["cov"]
+    assert np.allclose(got, np.cov(x.T), atol=1e-6)
+
+
+def test_numbers_follow_the_order(spark):
+    values = spark.range(0, 5000, 7).repartition(5)
+    assert sorted((r.n, r.id) for r in dbscan.numbered(values, "id", "n").collect()) == [(k + 1, 7 * k) for k in range(715)]
 
 
 def test_dbscan_finds_the_clouds(spark):
