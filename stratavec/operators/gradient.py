@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.models import Stored
 from .kmeans import assigned, first_rows, plus_plus
 
 
@@ -45,8 +46,9 @@ def first_sample(points: DataFrame, limit: int, seed: int) -> DataFrame:
     return uniform_sample(points, limit, seed)
 
 
-def _gradient(labelled: DataFrame, k: int, dim: int, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Mean over all points of unit vectors from point to centre, by cluster; counts; the mean distance."""
+def _gradient(labelled: DataFrame, k: int, dim: int, centres: np.ndarray, by_cluster: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean over all points of unit vectors from point to centre, by cluster; counts; the mean distance. With by_cluster
+    means are taken over each cluster's points, then over the clusters that have some."""
     centre = F.get(F.lit(centres.tolist()), F.col("label"))
     unit = F.zip_with(centre, F.col("v"), lambda c, x: (c - x) / F.greatest(F.col("dist"), F.lit(1e-12)))
     rows = labelled.withColumn("u", unit).groupBy("label").agg(F.count("*").alias("n"), F.sum("dist").alias("s"), *[F.sum(F.col("u")[i]).alias(f"g{i}") for i in range(dim)]).collect()
@@ -54,11 +56,19 @@ def _gradient(labelled: DataFrame, k: int, dim: int, centres: np.ndarray) -> tup
     g, n = np.zeros((k, dim)), np.zeros(k, np.int64)
     for r in rows:  # a row a cluster
         g[r.label], n[r.label] = [r[f"g{i}"] for i in range(dim)], r.n
+    if by_cluster:
+        some = max(int((n > 0).sum()), 1)
+        return g / np.maximum(n, 1)[:, None] / some, n, sum(r.s / r.n for r in rows) / some
     return g / max(total, 1), n, sum(r.s for r in rows) / max(total, 1)
 
 
 @dataclass
-class GradientKMeans:
+class GradientKMeans(Stored):
+    """loss is standard, the mean distance; cluster_variance, the mean of the clusters' mean distances; repulsion, standard
+    and a term that drives centres apart; or entropy, standard less a weight times the entropy of the cluster sizes. Sizes
+    don't change with small moves of the centres, so entropy has no gradient of its own: its steps are standard's, and
+    only its history of losses, and so where it stops, differs."""
+
     k: int
     optimizer: str = "adam"
     rate: float = 0.01
@@ -69,6 +79,7 @@ class GradientKMeans:
     patience: int = 10
     tol: float = 1e-4
     loss: str = "standard"
+    entropy: float = 0.1
     repulsion: float = 0.1
     reach: float = 1.0
     init: str = "hash"
@@ -80,7 +91,7 @@ class GradientKMeans:
     def __post_init__(self):
         if self.optimizer not in ("adam", "sgd", "rmsprop"):
             raise ValueError(f"unknown optimizer {self.optimizer!r}")
-        if self.loss not in ("standard", "entropy", "repulsion"):
+        if self.loss not in ("standard", "cluster_variance", "entropy", "repulsion"):
             raise ValueError(f"no gradient for loss {self.loss!r}")
 
     def _push(self) -> np.ndarray:
@@ -105,9 +116,13 @@ class GradientKMeans:
         first, second = np.zeros_like(self.centres), np.zeros_like(self.centres)
         best, waited = np.inf, 0
         for step in range(1, (steps or self.steps) + 1):
-            g, n, loss = _gradient(assigned(points, self.centres), self.k, self.centres.shape[1], self.centres)
+            g, n, loss = _gradient(assigned(points, self.centres), self.k, self.centres.shape[1], self.centres, self.loss == "cluster_variance")
             if self.loss == "repulsion":
-                g = g + self.repulsion * self._push()
+                d = np.linalg.norm(self.centres[:, None] - self.centres[None], axis=2)[~np.eye(self.k, dtype=bool)]
+                g, loss = g + self.repulsion * self._push(), loss + self.repulsion * float(np.exp(-d / self.reach).mean() if len(d) else 0.0)
+            elif self.loss == "entropy":
+                part = n / max(n.sum(), 1)
+                loss += self.entropy * float((part * np.log(part + 1e-8)).sum())
             g *= min(1.0, self.clip / max(np.linalg.norm(g), 1e-12))
             rate = self.rate * self.decay ** ((step - 1) // self.decay_every)
             if self.optimizer == "adam":

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.hashing import order_key, uniform
+from ..sources.scratch import drop, keep
 from .kmeans import first_rows, lloyd
 
 
@@ -95,10 +96,10 @@ class Codebook:
         """A query's distances to every centroid, by subspace."""
         return vectors.let(self.turned(q), lambda t: F.array(*[self._distances(t, m, squared) for m in range(len(self.splits))]))
 
-    def ratio(self, n: int, bytes_each: int = 4) -> float:
-        """Bytes of n vectors over those of their codes and of the books, four a number."""
+    def ratio(self, n: int, bytes_each: int = 4, maps: list[list[int]] | None = None) -> float:
+        """Bytes of n vectors over those of their codes, of the books and of the maps of a compressed one, four a number."""
         books = sum(len(c) * length * 4 for c, (_, length) in zip(self.centroids, self.splits, strict=True))
-        return n * self.dim * bytes_each / (n * len(self.splits) * 4 + books)
+        return n * self.dim * bytes_each / (n * len(self.splits) * 4 + books + 4 * sum(map(len, maps or [])))
 
     def bit_ratio(self) -> float:
         """dim * 32 over subspaces * log2 centroids."""
@@ -118,6 +119,22 @@ class Codebook:
         return cls(tuple(map(tuple, a)), tuple(tuple(map(tuple, book)) for book in b), None if c is None else tuple(map(tuple, c)))
 
 
+def hash_ratio(dim: int, tables: int, hashes: int) -> float:
+    """Bits of a vector of 32-bit numbers over those of its hashes, a bit each."""
+    return 32 * dim / (tables * hashes)
+
+
+def turned_points(points: DataFrame, rotation: np.ndarray) -> DataFrame:
+    """The points with v turned to the rotation's rows, a matrix product an Arrow batch."""
+    matrix = np.asarray(rotation, float).T
+
+    @F.pandas_udf("array<double>")
+    def turned(v: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(v.to_numpy()).astype(np.float64) @ matrix), dtype=object) if len(v) else pd.Series([], dtype=object)
+
+    return points.withColumn("v", turned("v"))
+
+
 def _moved(points: DataFrame, book: Codebook) -> list[np.ndarray]:
     """The mean part of each centroid's points, in all subspaces by one aggregation; the old centroid where it has none."""
     width = max(n for _, n in book.splits)
@@ -132,15 +149,19 @@ def _moved(points: DataFrame, book: Codebook) -> list[np.ndarray]:
 def train(points: DataFrame, dim: int, subspaces: int = 8, centroids: int = 256, steps: int = 5, seed: int = 42, exact: bool = True, rotation: np.ndarray | None = None) -> Codebook:
     """Lloyd steps in all subspaces at once from the hash-first rows (id, v)."""
     cut = tuple(splits(dim, subspaces, exact))
+    if rotation is not None:  # turned once, not in each step
+        points = keep(turned_points(points.select("id", "v"), rotation), "turned")
     start = first_rows(points, centroids, seed)
-    start = start if rotation is None else start @ rotation.T
     listed = lambda books: tuple(tuple(map(tuple, c.tolist())) for c in books)
-    book = Codebook(cut, listed([start[:, s : s + n] for s, n in cut]), None if rotation is None else tuple(map(tuple, rotation.tolist())))
+    book = Codebook(cut, listed([start[:, s : s + n] for s, n in cut]))
     for _ in range(steps):
         new = listed(_moved(points, book))
         if new == book.centroids:
             break
         book = replace(book, centroids=new)
+    if rotation is not None:
+        drop(points)
+        book = replace(book, rotation=tuple(map(tuple, np.asarray(rotation, float).tolist())))
     return book
 
 
@@ -195,7 +216,10 @@ def code_importance(codes: DataFrame, book: Codebook) -> DataFrame:
 
 
 def reconstruction_error(points: DataFrame, book: Codebook) -> DataFrame:
-    """(mse_row, mse_element): mean squared distance per row and per number."""
+    """(mse_row, mse_element): mean squared distance per row and per number. Turning keeps distances, so with a rotation
+    they are measured among the turned vectors."""
+    if book.rotation is not None:
+        points, book = turned_points(points, np.array(book.rotation)), replace(book, rotation=None)
     v = F.col("v")
     return points.agg(F.avg(vectors.squared_l2(v, book.decode(book.encode(v)))).alias("mse_row")).withColumn("mse_element", F.col("mse_row") / book.dim)
 

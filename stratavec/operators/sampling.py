@@ -172,14 +172,21 @@ def point_probabilities(codes: DataFrame, strata: DataFrame, temperature: float
     return odds.crossJoin(F.broadcast(odds.agg(F.sum("raw").alias("all")))).select("id", (F.col("raw") / F.col("all")).alias("q"))  # one number
 
 
-def with_replacement(odds: DataFrame, total: int, seed: int = 42, blocks: int = 256) -> DataFrame:
+def create_sampler(sample: DataFrame, total: int, weight: str = "weight", seed: int = 42, id_: str = "id") -> DataFrame:
+    """(draw, id): what a training loop reads, drawn with replacement from a weighted sample in proportion to its weights."""
+    whole = F.broadcast(sample.agg(F.sum(weight).alias("_all")))  # one number
+    odds = sample.select(F.col(id_).alias("id"), weight).crossJoin(whole).select("id", (F.col(weight) / F.col("_all")).alias("q"))
+    return with_replacement(keep(odds, "odds"), total, seed, all_once=False).select("draw", "id")
+
+
+def with_replacement(odds: DataFrame, total: int, seed: int = 42, blocks: int = 256, all_once: bool = True) -> DataFrame:
     """(draw, id, weight): total draws by inverse distribution from (id, q), with weights (1 / N) / q. The running sum is
-    taken in blocks of ids by hash, block sums first, so that no task sorts all ids. With total at least N every row is
-    taken once, with weight 1."""
+    taken in blocks of ids by hash, block sums first, so that no task sorts all ids. With all_once and total at least N
+    every row is taken once, with weight 1, instead."""
     n = odds.count()
-    if total >= n:
+    if all_once and total >= n:
         return odds.select(F.monotonically_increasing_id().alias("draw"), "id", F.lit(1.0).alias("weight"))
-    odds = odds.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    odds = odds.withColumn("block", F.floor(uniform("block", F.col("id")) * blocks))
     sums = odds.groupBy("block").agg(F.sum("q").alias("s"))
     starts = sums.select("block", F.coalesce(F.sum("s").over(_down("block")), F.lit(0.0)).alias("start"))
     inside = Window.partitionBy("block").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -9,14 +9,16 @@ import json
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.hashing import HashFamily, MultiWidth, bucket_key, collision_column
 from ..operators import ann, dbscan, estimators, gradient, kmeans, metrics, pq, projection, sampling, tuning
+from ..operators import importance as importance_ops
 from ..sources import catalog
-from ..sources.vectors import read_packed
+from ..sources.scratch import keep, new_path
+from ..sources.vectors import read_packed, read_wide, write_wide
 
 DIM, K, SEED = 64, 10, 42
 FAMILY = HashFamily.draw(DIM, tables=4, hashes=2, width=0.5)
@@ -179,7 +181,7 @@ def lsh_knn_cosine_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ann.hash_knn(p, asked(spark, sf_dir), ann.build_index(p, COSINE), COSINE, K, probes=7), "dist")
 
 
-_LEVELS = 3
+_LEVELS = 5
 
 
 @query(
@@ -302,7 +304,9 @@ def importance_sql(strategy: str) -> str:
         "x AS (SELECT *, coalesce(imp / nullif(sum(imp) OVER (), 0), 0) AS part, exp((imp - max(imp) OVER ()) / 5.0) AS ex FROM i)",
         "p AS (SELECT *, ex / sum(ex) OVER () AS p FROM x)",
         "g AS (SELECT *, least(ceil(p * 100), size, 10) AS quota FROM p)",
-        "qt AS (SELECT bucket, size, part, total, greatest(0, least(quota, 100 - coalesce(sum(quota) OVER (ORDER BY p DESC, bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS n FROM g)", DRAWN,
+        "q0 AS (SELECT bucket, size, part, total, p, greatest(0, least(quota, 100 - coalesce(sum(quota) OVER (ORDER BY p DESC, bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS n FROM g)",
+        "tu AS (SELECT bucket, size, part, total, greatest(0, least(size, (SELECT 100 - sum(n) FROM q0) - coalesce(sum(size) OVER (ORDER BY p DESC, size DESC, bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS n FROM q0 WHERE n = 0)",
+        "qt AS (SELECT bucket, size, part, total, n FROM q0 WHERE n > 0 UNION ALL SELECT bucket, size, part, total, n FROM tu WHERE n > 0)", DRAWN,
         "z AS (SELECT id, bucket, coalesce(1 / nullif(part * n / size * total, 0), 1.0) AS weight FROM r WHERE rk <= n)",
     )
 
@@ -457,32 +461,34 @@ def pq_distance_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pq.distance_preservation(points(spark, sf_dir), book(spark, sf_dir)), "correlation", "mape")
 
 
-CODE0 = "c0 AS (SELECT id, code AS c, sqrt(list_dot_product(list_slice(v, 1, 8), list_slice(v, 1, 8))) AS f FROM pl JOIN e USING (id) WHERE m = 0)"
+#: Points with their whole code and the target.
+CODED_F = "cf AS (SELECT coded.id, pq_code AS c, sqrt(list_dot_product(list_slice(v, 1, 8), list_slice(v, 1, 8))) AS f FROM coded JOIN e USING (id))"
 
 
-def first_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coded(spark, sf_dir, book(spark, sf_dir)).select("id", F.col("pq_code")[0].alias("c"), vectors.norm(vectors.sub_vector(F.col("v"), 0, 8)).alias("f"))
+def whole_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, c, f), written: rows join their codes' counts from plain scans, so a code of any size is split."""
+    return keep(coded(spark, sf_dir, book(spark, sf_dir)).select("id", _text().alias("c"), vectors.norm(vectors.sub_vector(F.col("v"), 0, 8)).alias("f")), "codes")
 
 
 @query(
-    with_(BOOK_SQL, CODE0, "o AS (SELECT id, CAST(row_number() OVER (PARTITION BY c ORDER BY md5('42|' || id), id) > greatest(1, 100 // (SELECT count(DISTINCT c) FROM c0)) AS INTEGER) AS late FROM c0)")
+    with_(BOOK_SQL, CODED, CODED_F, "o AS (SELECT id, CAST(row_number() OVER (PARTITION BY c ORDER BY md5('42|' || id), id) > greatest(1, 100 // (SELECT count(DISTINCT c) FROM cf)) AS INTEGER) AS late FROM cf)")
     + "SELECT id FROM o ORDER BY late, md5('42|' || id), id LIMIT 100"
 )
 def pq_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.balanced_top_up(first_code(spark, sf_dir), "c", 100).select("id")
+    return sampling.balanced_top_up(whole_code(spark, sf_dir), "c", 100).select("id")
 
 
-@query(with_(BOOK_SQL, CODE0) + f"SELECT id FROM (SELECT id, count(*) OVER (PARTITION BY c) AS w FROM c0) ORDER BY {U.format(42, 'id')} / w, id LIMIT 100")
+@query(with_(BOOK_SQL, CODED, CODED_F) + f"SELECT id FROM (SELECT id, count(*) OVER (PARTITION BY c) AS w FROM cf) ORDER BY {U.format(42, 'id')} / w, id LIMIT 100")
 def pq_proportional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = first_code(spark, sf_dir)
-    sized = rows.join(rows.groupBy("c").agg(F.count("*").cast("double").alias("w")), "c")
+    rows = whole_code(spark, sf_dir)
+    sized = rows.join(keep(rows.groupBy("c").agg(F.count("*").cast("double").alias("w")), "sizes"), "c")
     return sampling.weighted_sample(sized, F.col("w"), 100).select("id")
 
 
-@query(with_(BOOK_SQL, CODE0) + f"SELECT id FROM (SELECT id, coalesce(var_samp(f) OVER (PARTITION BY c), 1.0) AS w FROM c0) ORDER BY CASE WHEN w > 0 THEN {U.format(42, 'id')} / w END NULLS LAST, id LIMIT 100")
+@query(with_(BOOK_SQL, CODED, CODED_F) + f"SELECT id FROM (SELECT id, coalesce(var_samp(f) OVER (PARTITION BY c), 1.0) AS w FROM cf) ORDER BY CASE WHEN w > 0 THEN {U.format(42, 'id')} / w END NULLS LAST, id LIMIT 100")
 def pq_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = first_code(spark, sf_dir)
-    weighted = rows.join(rows.groupBy("c").agg(F.coalesce(F.var_samp("f"), F.lit(1.0)).alias("w")), "c")
+    rows = whole_code(spark, sf_dir)
+    weighted = rows.join(keep(rows.groupBy("c").agg(F.coalesce(F.var_samp("f"), F.lit(1.0)).alias("w")), "variances"), "c")
     return sampling.weighted_sample(weighted, F.col("w"), 100).select("id")
 
 
@@ -496,14 +502,8 @@ CODE_IMPORTANCE = {
 }
 
 
-def code_strata(spark: SparkSession, sf_dir: str, strategy: str) -> tuple[DataFrame, DataFrame]:
-    """(id, subspace, code), (subspace, code, size, importance)."""
-    b = book(spark, sf_dir)
-    parts = points(spark, sf_dir).withColumn("f", vectors.norm(vectors.sub_vector(F.col("v"), 0, 8)))
-    each = F.array(*[F.struct(F.lit(m).alias("subspace"), vectors.argmin(b.distances(F.col("v"), m, True)).alias("code"), F.array_min(b.distances(F.col("v"), m)).alias("dist")) for m in range(SUBSPACES)])
-    codes = parts.select("id", "f", F.explode(each).alias("s")).select("id", "f", "s.*")
-    stats = codes.groupBy("subspace", "code").agg(F.count("*").alias("size"), F.avg("dist").alias("spread"), F.coalesce(F.var_samp("dist"), F.lit(0.0)).alias("vr"), F.coalesce(F.var_samp("f"), F.lit(0.0)).alias("vf"))
-    return codes.select("id", "subspace", "code"), stats.withColumn("importance", F.expr(CODE_IMPORTANCE[strategy].replace("1e-6", "1e-6D").replace("10.0", "10.0D")))
+def target() -> Column:
+    return vectors.norm(vectors.sub_vector(F.col("v"), 0, 8))
 
 
 def odds_sql(strategy: str) -> str:
@@ -516,7 +516,7 @@ def odds_sql(strategy: str) -> str:
 
 def _odds(strategy: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        odds = sampling.point_probabilities(*code_strata(spark, sf_dir, strategy))
+        odds = importance_ops.odds(points(spark, sf_dir), book(spark, sf_dir), target(), strategy)
         return odds.select("id", F.round(F.col("q") * 1000, 6).alias("q_per_mille"))
 
     run.__name__ = f"pq_odds_{strategy}"
@@ -527,10 +527,53 @@ for _strategy in CODE_IMPORTANCE:
     _odds(_strategy)
 
 
-@query()
+def _placed(total: int, odds: str) -> str:
+    """SQL: draws 0, 1, ... and the points whose part of the running sum of odds, in blocks of ids by hash, they fall into."""
+    return (
+        f"od AS ({odds}), bl AS (SELECT *, floor({U.format('block', 'id')} * 256) AS block FROM od), hi AS (SELECT id, q, sum(q) OVER (ORDER BY block, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi FROM bl), "
+        f"dw AS (SELECT r AS draw, {U.format(42, 'r')} AS u FROM range({total}) AS t(r))"
+    )
+
+
+@query(
+    odds_sql("residual_variance").rstrip()
+    + ", "
+    + _placed(100, "SELECT id, r / sum(r) OVER () AS q FROM raw")
+    + " SELECT draw, id, round(1 / ((SELECT count(*) FROM od) * q), 6) AS weight FROM dw JOIN hi ON u >= hi - q AND u < hi"
+)
 def pq_sample_with_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    odds = sampling.point_probabilities(*code_strata(spark, sf_dir, "residual_variance"))
-    return sampling.with_replacement(odds, 100)
+    odds = importance_ops.odds(points(spark, sf_dir), book(spark, sf_dir), target(), "residual_variance")
+    return rounded(sampling.with_replacement(keep(odds, "odds"), 100), "weight")
+
+
+V1 = {
+    "proportional": "CAST(size AS DOUBLE)",
+    "residual_variance": "CASE WHEN size < 2 THEN size ELSE vr * vf * size END",
+    "cluster_density": "size / (1 + spread)",
+}
+
+
+def _first_subspace(strategy: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = importance_ops.first_subspace_sample(points(spark, sf_dir), book(spark, sf_dir), target(), 100, strategy, temperature=20.0)
+        return rounded(found, "weight")
+
+    run.__name__ = f"pq_first_subspace_{strategy}"
+    query(
+        with_(
+            BOOK_SQL, "k AS (SELECT pl.id, CAST(code AS INTEGER) AS bucket, dist, v, sqrt(list_dot_product(list_slice(v, 1, 8), list_slice(v, 1, 8))) AS f FROM pl JOIN e USING (id) WHERE m = 0)",
+            f"mu AS (SELECT bucket, list(a ORDER BY i) AS mid FROM (SELECT bucket, i, avg(v[i]) AS a FROM k, range(1, {DIM + 1}) AS t(i) GROUP BY 1, 2) GROUP BY 1)",
+            "st AS (SELECT bucket, count(*) AS size, var_samp(dist) AS vr, var_samp(f) AS vf, avg(list_distance(v, mid)) AS spread FROM k JOIN mu USING (bucket) GROUP BY 1)",
+            f"im AS (SELECT *, {V1[strategy]} AS imp FROM st)", "sx AS (SELECT *, exp((imp - max(imp) OVER ()) / 20.0) AS ex FROM im)", "sp AS (SELECT *, ex / sum(ex) OVER () AS p, sum(size) OVER () AS total FROM sx)",
+            "qq AS (SELECT *, least(floor(p * 100), size) AS quota FROM sp)",
+            "qt AS (SELECT bucket, size, p, total, greatest(0, least(quota, 100 - coalesce(sum(quota) OVER (ORDER BY p DESC, bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS n FROM qq WHERE quota > 0)", DRAWN,
+        )
+        + "SELECT id, bucket AS code, round(1 / (p * n / size * total), 6) AS weight FROM r WHERE rk <= n"
+    )(run)
+
+
+for _strategy in V1:
+    _first_subspace(_strategy)
 
 
 @query(
@@ -804,29 +847,81 @@ def standardized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(p.select("id", F.posexplode(scale.apply(F.col("v"))).alias("pos", "z")), "z")
 
 
-BATCH = "SELECT source AS dataset, lang AS batch_id, count(*) AS size FROM documents GROUP BY 1, 2"
+#: The engine's hash families are drawn from the dataset's parameters, so SQL can state them.
+STORED = {"w": 0.5, "k": 2, "L": 4, "sampling_ratio": 1.0, "initial_radius": 1.5, "radius_expansion": 2.0}
+STORED_FAMILY = HashFamily.draw(DIM, STORED["L"], STORED["k"], STORED["w"])
+#: Points that count after the second batch was replaced by its even half.
+LIVE = "e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 3 <> 1 OR vec_id % 2 = 0), q AS (SELECT id AS q_id, v AS qv FROM e WHERE id % 20 = 0)"
 
 
-def source_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of one source and language as a batch."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy(F.col("source").alias("dataset"), F.col("lang").alias("batch_id")).agg(F.count("*").alias("size"), F.max("doc_id").alias("processed_at"))
+def engine_of(spark: SparkSession, sf_dir: str) -> catalog.Engine:
+    """An engine in a folder of its own: dataset vectors, in three batches of which the second was ingested twice, with
+    other rows; dataset plain, empty."""
+    engine, p = catalog.Engine(spark, new_path(spark, "engine")), points(spark, sf_dir)
+    engine.create_dataset("plain", 8, distance_metric="cosine")
+    engine.create_dataset("vectors", DIM, **STORED)
+    for name, rows in (("b0", p.where("id % 3 = 0")), ("b1", p.where("id % 3 = 1")), ("b2", p.where("id % 3 = 2")), ("b1", p.where("id % 3 = 1 AND id % 2 = 0"))):
+        engine.ingest("vectors", rows, name)
+    return engine
 
 
-@query(f"WITH b AS ({BATCH}) SELECT dataset, count(*) AS batches, CAST(sum(size) AS BIGINT) AS points FROM b GROUP BY 1")
+@query("SELECT * FROM (VALUES ('vectors', 64, 100, 2, 4, 0.5::DOUBLE, 'euclidean', 1.5::DOUBLE), ('plain', 8, 100, 10, 5, 1.0::DOUBLE, 'cosine', NULL)) AS t(name, dimension, m, k, L, w, distance_metric, initial_radius)")
 def dataset_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_batches(spark, sf_dir).groupBy("dataset").agg(F.count("*").alias("batches"), F.sum("size").alias("points"))
+    return engine_of(spark, sf_dir).list_datasets().select("name", "dimension", "m", "k", "L", "w", "distance_metric", "initial_radius")
 
 
-@query("WITH b AS (SELECT source AS dataset, lang AS batch_id, n_chars AS size, doc_id AS processed_at FROM documents) SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY dataset, batch_id ORDER BY processed_at DESC, size DESC) = 1")
+@query("SELECT 'vectors' AS dataset, 'b' || (vec_id % 3) AS batch_id, count(*) AS size FROM embeddings WHERE vec_id % 3 <> 1 OR vec_id % 2 = 0 GROUP BY 2")
 def batch_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("dataset"), F.col("lang").alias("batch_id"), F.col("n_chars").alias("size"), F.col("doc_id").alias("processed_at"))
-    return catalog.upsert_batches(rows.limit(0), rows)
+    return engine_of(spark, sf_dir).batches().select("dataset", "batch_id", "size")
 
 
-@query(f"WITH b AS ({BATCH}), d AS (SELECT dataset, max(size) AS most FROM b GROUP BY 1) SELECT b.dataset, b.batch_id, b.size, d.most FROM b JOIN d USING (dataset)")
+@query("SELECT 'vectors' AS dataset, 'b1' AS batch_id, count(*) AS size, 64 AS dimension, 'euclidean' AS distance_metric FROM embeddings WHERE vec_id % 6 = 4")
 def batch_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = source_batches(spark, sf_dir).select("dataset", "batch_id", "size")
-    return b.join(b.groupBy("dataset").agg(F.max("size").alias("most")), "dataset")
+    found = engine_of(spark, sf_dir).batch_info("vectors", "b1")
+    return spark.createDataFrame([tuple(found[c] for c in ("dataset", "batch_id", "size", "dimension", "distance_metric"))], "dataset string, batch_id string, size long, dimension int, distance_metric string")
+
+
+@query("WITH " + LIVE + " SELECT count(*) AS total_points, 3 AS processed_batches, (SELECT 100 - count(*) FROM range(0)) AS m FROM e")
+def engine_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of a dataset restored from a saved one."""
+    engine = engine_of(spark, sf_dir)
+    saved = new_path(spark, "saved")
+    engine.save("vectors", saved)
+    engine.load(saved, "copy")
+    found = engine.stats("copy")
+    return spark.createDataFrame([(found["total_points"], found["processed_batches"], engine.dataset("copy")["m"])], "total_points long, processed_batches int, m long")
+
+
+@query("WITH " + LIVE + ",\n" + index_sql(STORED_FAMILY) + " SELECT table_id, bucket_key AS hash_value, count(*) AS n FROM idx GROUP BY 1, 2")
+def engine_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets of the stored index, which grew by batches and lost the replaced one."""
+    return engine_of(spark, sf_dir).buckets("vectors")
+
+
+_RADII = [1.0, *[STORED["initial_radius"] * STORED["radius_expansion"] ** i for i in range(1, 5)]]
+ADAPTED = [
+    *[index_sql(STORED_FAMILY, r, f"i{i}") for i, r in enumerate(_RADII)],
+    "lv AS (" + " UNION ALL ".join(f"SELECT DISTINCT a.id AS q_id, b.id, {i} AS level FROM i{i} a JOIN i{i} b USING (table_id, bucket_key) WHERE a.id % 20 = 0 AND a.id <> b.id" for i in range(5)) + ")",
+    "n AS (SELECT q_id, level, count(*) AS n FROM lv GROUP BY 1, 2)", f"c AS (SELECT q_id, coalesce(min(CASE WHEN n >= {3 * K} THEN level END), max(level)) AS level FROM n GROUP BY 1)",
+    "cand AS (SELECT lv.q_id, lv.id FROM lv JOIN c USING (q_id, level))",
+]
+
+
+@query("WITH " + ",\n".join([LIVE, *ADAPTED, RANKED]) + "\n" + top("d"))
+def engine_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours by the engine: stored index, buckets widened from the tuned radius on, exact distances."""
+    found = engine_of(spark, sf_dir).query("vectors", asked(spark, sf_dir).where("q_id % 3 <> 1 OR q_id % 2 = 0"), K, exclude_self=True)
+    return rounded(found, "dist")
+
+
+@query(
+    "WITH " + LIVE + ",\n" + index_sql(STORED_FAMILY) + ", k AS (SELECT id, bucket_key AS bucket FROM idx WHERE table_id = 0), "
+    + "s AS (SELECT bucket, count(*) AS size, 100 * count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS p FROM k GROUP BY 1), "
+    + "o AS (SELECT *, row_number() OVER (ORDER BY share - floor(share) DESC, bucket) AS place, 100 - sum(floor(share)) OVER () AS left_over FROM s), "
+    + "qt AS (SELECT bucket, size, p, least(floor(share) + CAST(place <= left_over AS INTEGER), size) AS n FROM o), " + DRAWN + " " + STRATIFIED
+)
+def engine_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(engine_of(spark, sf_dir).sample("vectors", size=100), "weight", "weight_ht")
 
 
 @query(with_(index_sql(FAMILY), index_sql(FAMILY, 0.5, "fine")) + "SELECT DISTINCT table_id, bucket_key AS hash_value FROM fine WHERE (table_id, bucket_key) NOT IN (SELECT (table_id, bucket_key) FROM idx)")
@@ -836,10 +931,10 @@ def stale_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.stale_buckets(stored, ann.build_index(p, FAMILY))
 
 
-@query(
-    "SELECT l_returnflag AS flag, count(*) AS n, round(avg(sqrt(l_quantity * l_quantity + l_discount * l_discount + l_tax * l_tax)), 6) AS mean_norm FROM lineitem GROUP BY 1"
-)
+@query(f"SELECT label, count(*) AS n, round(avg(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))), 6) AS mean_norm, round(sum(CAST(embedding[{DIM}] AS DOUBLE)), 6) AS last FROM embeddings GROUP BY 1")
 def wide_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide numeric columns as vectors."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_returnflag").alias("flag"), vectors.pack("l_quantity", "l_discount", "l_tax").alias("v"))
-    return rounded(rows.groupBy("flag").agg(F.count("*").alias("n"), F.avg(vectors.norm(F.col("v"))).alias("mean_norm")), "mean_norm")
+    """Vectors written as a column for each number and read back."""
+    path = new_path(spark, "wide")
+    write_wide(labelled(spark, sf_dir), path, DIM, label="label")
+    rows = read_wide(spark, path)
+    return rounded(rows.groupBy("label").agg(F.count("*").alias("n"), F.avg(vectors.norm(F.col("v"))).alias("mean_norm"), F.sum(F.col("v")[DIM - 1]).alias("last")), "mean_norm", "last")

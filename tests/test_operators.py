@@ -193,6 +193,94 @@ def test_quantizer(cloud, local):
     assert all(0 <= g < 3 for m in goes for g in m)
 
 
+def test_models_are_stored_and_copied(spark, tmp_path, cloud):
+    rows = spark.createDataFrame([(i, [str(i % 3), str(i % 2), "x"]) for i in range(60)], "id long, v array<string>")
+    for k, (model, data) in enumerate(((kmeans.KMeans(3, standardize=True), cloud), (gradient.GradientKMeans(3, steps=3), cloud), (kmeans.KModes(4), rows))):
+        model.fit(data)
+        path = f"file://{tmp_path}/{k}"
+        model.save(spark, path)
+        again = type(model).load(spark, path)
+        assert sorted(map(tuple, again.predict(data).select("id", "label").collect() if k else again.transform(data).select("id", "label").collect())) == sorted(map(tuple, model.predict(data).select("id", "label").collect() if k else model.transform(data).select("id", "label").collect()))
+        twin = model.copy()
+        assert model.history_frame(spark).count() == twin.history_frame(spark).count() > 0
+        with pytest.raises(ValueError, match="holds a"):
+            (kmeans.KModes if k < 2 else kmeans.KMeans).load(spark, path)
+    part = kmeans.KMeans.load(spark, f"file://{tmp_path}/0")
+    before = part.counts.sum()
+    assert part.partial_fit(cloud).counts.sum() == 2 * before  # goes on where it was
+
+
+def test_kmodes_starts_and_refills(spark):
+    rows = [(i, [f"a{i // 10}", f"b{i // 10}", "c"]) for i in range(40)]
+    points = spark.createDataFrame(rows, "id long, v array<string>")
+    model = kmeans.KModes(4, init="++").fit(points)
+    assert model.score(points) == 0.0
+    assert sorted(model.sizes[-1]) == [10, 10, 10, 10]
+    stuck = kmeans.KModes(3, steps=1)
+    stuck._start = lambda p: [rows[0][1], rows[0][1], rows[10][1]]
+    stuck.fit(points)
+    assert stuck.sizes[0][1] == 0 and stuck.modes[1] in [r for _, r in rows[20:]]
+    assert model.fit_incremental(points.where("id < 20"), points.where("id >= 20")).score(points) == 0.0
+
+
+def test_invalid_vectors_and_centres(spark, cloud):
+    bad = spark.createDataFrame([(1000, [float("nan")] * 8), (1001, None), (1002, [1.0, None] + [0.0] * 6), (1003, [float("inf")] * 8), (1004, [1.0])], "id long, v array<double>")
+    rows = cloud.select("id", "v").unionByName(bad)
+    assert kmeans.valid(rows, 8).count() == 300
+    assert np.isfinite(kmeans.KMeans(3).fit(rows.where("id <> 1004")).centres).all()
+    old = np.zeros((1, 2))
+    assert kmeans.valid_centres([[1, 2], [np.nan, 1], [1, 2, 3], [np.inf, 0]], 2, old).tolist() == [[1.0, 2.0]]
+    assert kmeans.valid_centres([[np.nan, 1]], 2, old) is old
+    line = np.array([[0.0], [0.1], [5.0], [10.0], [9.9]])
+    assert len(kmeans.diverse(line, 9)) == 5
+    assert {round(x) for x in kmeans.diverse(line, 3).ravel()} == {0, 5, 10}
+
+
+def test_chunks_and_partitions(spark, cloud):
+    parts = kmeans.chunks(cloud, 100)
+    assert parts.select("chunk").distinct().count() == 3
+    assert parts.count() == 300
+    assert kmeans.sized(cloud.repartition(40), 8).rdd.getNumPartitions() == 1
+    assert kmeans.sized(cloud.repartition(1), 8).rdd.getNumPartitions() == 1
+
+
+def test_ward_finds_the_clouds(spark):
+    points = sources.blobs(spark, 120, dim=3, centres=4, spread=0.2)
+    found = metrics.ward(points, 4).join(points.withColumnRenamed("label", "truth"), "id")
+    assert metrics.adjusted_rand(found, "truth", "label").first()[0] == 1.0
+    assert metrics.ward(points, 4, sample=40).select("label").distinct().count() == 4
+
+
+def test_losses_with_and_without_gradients(cloud):
+    for loss in ("cluster_variance", "entropy", "repulsion"):
+        model = gradient.GradientKMeans(3, steps=6, rate=0.3, loss=loss).fit(cloud)
+        assert model.history[-1][1] < model.history[0][1]
+    a, b = (gradient.GradientKMeans(3, steps=3, loss=loss).fit(cloud) for loss in ("standard", "entropy"))
+    assert np.allclose(a.centres, b.centres)
+    assert [h[1] for h in a.history] != [h[1] for h in b.history]
+    with pytest.raises(ValueError):
+        gradient.GradientKMeans(3, loss="other")
+
+
+def test_quantizer_evaluation(spark, cloud):
+    book = pq.train(cloud, 8, 4, 16, 3)
+    q = cloud.where("id < 20").select(F.col("id").alias("q_id"), "v")
+    r = tuning.evaluate_clusters(cloud, q, book, 3).first()
+    assert r.ari_before > 0.9 and r.ari_after > 0.9
+    assert 0.5 < r.silhouette_before <= 1 and 0.5 < r.silhouette_after <= 1
+    assert r.compression_ratio == pytest.approx(book.ratio(300))
+    assert book.ratio(300, maps=[[0] * 16] * 4) < book.ratio(300)
+    assert pq.hash_ratio(320, 10, 16) == 64
+
+
+def test_sampler_follows_the_weights(spark):
+    rows = spark.createDataFrame([(i, float(1 + i % 3)) for i in range(30)], "id long, weight double")
+    drawn = sampling.create_sampler(rows, 6000)
+    assert drawn.count() == 6000
+    got = {r.w: r.n for r in drawn.join(rows, "id").groupBy(F.col("weight").alias("w")).agg(F.count("*").alias("n")).collect()}
+    assert all(abs(got[w] - 1000 * w) < 200 for w in (1.0, 2.0, 3.0))
+
+
 def test_splits():
     assert pq.nearest_divisor(12, 5) == 4
     assert pq.splits(10, 3) == [(0, 4), (4, 3), (7, 3)]
