@@ -111,7 +111,7 @@ class WordEncoder:
 @functools.cache
 def word_ids(path: str) -> Cached:
     """Ids of words by a tokenizer file; made once in a worker, whatever its tasks."""
-    return Cached(WordEncoder(path).word)
+    return Cached(WordEncoder(path).word, 56 << 20)
 
 
 def symbols(spec: dict) -> dict[bytes, int]:
