@@ -4,20 +4,24 @@ Every string of `length` bytes (a window) has an anchor, the least-hashed gram o
 have equal anchors at equal places, and suffixes are sorted in buckets of one anchor. Consecutive windows with the same
 anchor are a run; its context is the bytes from its first window's start to its last one's end.
 
-1. Runs are compared by the hashes of anchor and context. Of equal runs the earliest stays; the others' windows all
-   start earlier too, so their bytes go. Tasks do this for their own runs before anything is shuffled, so that a passage
-   shared by any number of documents sends a run per task and not per document.
-2. Where runs with the same anchor differ, the contexts themselves are fetched and their suffixes sorted, bucket after
-   bucket. A bucket is narrowed first: windows that reach far to the left of the anchor hold the same bytes there, the
-   others to its right, and only suffixes of contexts that agree on these are sorted together. Their first PERIOD bytes
-   are compared, longer ties by ranks of sample suffixes, whose offsets are a difference cover modulo PERIOD; the ranks
-   come from doubling. Neighbours in suffix order that agree on `length` bytes are equal windows.
-
-Memory is bounded by the bucket size, whose number follows the bytes of all texts. Positions are in UTF-8 bytes.
-
-Null texts count as empty and lose nothing, as do texts shorter than `length`. A null doc_id is larger than all others.
-Rows that share a doc_id are one document for "earlier": identical ones don't remove each other. Hashes of 44 and 64
-bits of anchor and context together tell runs apart in step 1."""
+1. A task compares its own runs before anything is shuffled: of those whose contexts are equal, byte by byte, the earliest
+   stays, and the bytes of the others go, as all of their windows start earlier. So a passage shared by any number of
+   documents sends a run per task and not per document. The runs that stay are sent by anchor, without their bytes; those
+   whose anchor no other has can't be repeated and are done.
+2. The contexts of all others are fetched and their suffixes sorted, bucket after bucket. A bucket is narrowed first: windows
+   that reach far to the left of the anchor hold the same bytes there, the others to its right, and only suffixes of
+   contexts that agree on these are sorted together. Contexts that are equal as a whole, byte by byte, are one suffix of
+   the bucket, of which the earliest stays. The others' windows are sorted: by their first PERIOD bytes, longer ties by
+   ranks of sample suffixes, whose offsets are a difference cover modulo PERIOD; the ranks come from doubling. Neighbours in
+   suffix order that agree on `length` bytes are equal windows.
+
+Hashes only choose what is compared: no byte goes whose window wasn't compared with an earlier one byte by byte. Memory is
+bounded by the bucket size, whose number follows the bytes of all texts. Positions are in UTF-8 bytes.
+
+Null texts count as empty and lose nothing, as do texts shorter than `length`; long texts are taken in overlapping parts.
+Ids are taken as longs, a null one as larger than all others. Rows that share a doc_id are one document for "earlier":
+identical ones don't remove each other. No rows give no rows. `removed` reads doc_id and text only; `shortened` returns all
+columns, whatever their names."""
 
 from __future__ import annotations
 
@@ -37,7 +41,9 @@ SEGMENT, POSITION_BITS = 1 << 18, 20
 #: Runs that a task gathers before it sends them, and runs in a bucket on average.
 LOT, BUCKET_RUNS = 600_000, 300_000
 NO_ID = (1 << 63) - 1
-RUN = np.dtype([("anchor", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("lo", "<i4"), ("more", "<u2"), ("rel", "<u2")])
+#: A run as it is sent, and as a task compares it: with the hash of its context, and where its bytes are.
+SENT = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("lo", "<i4"), ("more", "<u2"), ("rel", "<u2")])
+RUN = np.dtype([*SENT.descr, ("ctx", "<u8"), ("part", "<i4"), ("at", "<i4")])
 SPAN = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("stop", "<i4")])
 
 
@@ -125,15 +131,20 @@ def _segments(texts: list[bytes], length: int):
         yield own, offsets, b"".join(parts), np.cumsum([len(p) for p in parts])
 
 
-def _split(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs that stay, the earliest of equal ones, sorted by anchor; the others, whose bytes go. Runs at the same place
-    of the same document's rows don't remove each other."""
+def _split(found: np.ndarray, parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs that stay, and those whose bytes go as an earlier run has the same context. Hashes bring runs together, their
+    bytes are compared. Runs at the same place of the same document's rows don't remove each other."""
     found = found[np.lexsort((found["lo"], found["doc"], found["ctx"], found["anchor"]))]
     new = np.ones(len(found), bool)
     new[1:] = (found["anchor"][1:] != found["anchor"][:-1]) | (found["ctx"][1:] != found["ctx"][:-1])
-    head = np.maximum.accumulate(np.where(new, np.arange(len(found)), 0))
-    same = (found["doc"] == found["doc"][head]) & (found["lo"] == found["lo"][head])
-    return found[same], found[~same]
+    head = found[np.maximum.accumulate(np.where(new, np.arange(len(found)), 0))]
+    again = np.flatnonzero((found["doc"] != head["doc"]) | (found["lo"] != head["lo"]))
+    size = found["more"][again].astype(np.int64) + length
+    sides = [x.tolist() for side in (found[again], head[again]) for x in (side["part"], side["at"], side["at"] + size)]
+    equal = np.fromiter((parts[p][a:b] == parts[q][c:d] for p, a, b, q, c, d in zip(*sides, strict=True)), bool, len(again))
+    gone = np.zeros(len(found), bool)
+    gone[again[equal]] = True
+    return found[~gone], found[gone]
 
 
 def _spans(gone: np.ndarray, length: int) -> np.ndarray:
@@ -175,13 +186,15 @@ def _first_pass(docs: DataFrame, buckets: int, length: int) -> DataFrame:
 
     def scan(batches):
         waiting: list[np.ndarray] = []
+        parts: list[bytes] = []
         sent = 0
 
         def send():
-            nonlocal waiting, sent
-            stay, gone = _split(np.concatenate(waiting))
-            waiting = []
-            rows = [(k, data, b"") for k, data in _bucketed(stay, stay["anchor"], buckets)]
+            nonlocal sent
+            stay, gone = _split(np.concatenate(waiting), parts, length)
+            waiting.clear()
+            parts.clear()
+            rows = [(k, data, b"") for k, data in _bucketed(np.array(stay[list(SENT.names)], SENT), stay["anchor"], buckets)]
             sent += 1
             spans = _spans(gone, length)
             rows += [((int(spans["doc"][a]) + a + sent) % buckets, b"", spans[a : a + 50_000].tobytes()) for a in range(0, len(spans), 50_000)]
@@ -194,6 +207,8 @@ def _first_pass(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                 out = np.zeros(len(text), RUN)
                 which = np.array(own)[text]
                 out["doc"], out["tag"], out["anchor"], out["ctx"] = doc[which], tag[which], anchor, ctx
+                out["part"], out["at"] = len(parts), first
+                parts.append(data)
                 out["lo"] = first - np.concatenate([[0], ends[:-1]])[text] + np.array(offsets)[text]
                 out["more"], out["rel"] = more, rel
                 waiting.append(out)
@@ -209,8 +224,8 @@ def _second_pass(packed: DataFrame, length: int) -> DataFrame:
     """(doc, tag, start, stop, anchor, rel): spans that go, anchor null; runs that share an anchor with other ones."""
 
     def compare(table: pa.Table) -> pa.Table:
-        stay, gone = _split(np.frombuffer(b"".join(table.column("runs").to_pylist()), RUN))
-        spans = _merged(np.concatenate([np.frombuffer(b"".join(table.column("spans").to_pylist()), SPAN), _spans(gone, length)]))
+        stay = np.frombuffer(b"".join(table.column("runs").to_pylist()), SENT)
+        spans = _merged(np.frombuffer(b"".join(table.column("spans").to_pylist()), SPAN))
         _, back, count = np.unique(stay["anchor"], return_inverse=True, return_counts=True)
         open_ = stay[count[back] > 1]
         stop = open_["lo"] + open_["more"].astype(np.int32) + length
@@ -231,29 +246,52 @@ def _context_type(length: int) -> np.dtype:
     return np.dtype([("key", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("shift", "<i4"), ("windows", "<i4"), ("bytes", "u1", (room,))])
 
 
-def contexts(text: bytes, found: list[dict], length: int = LENGTH) -> np.ndarray:
+def contexts(text: bytes, doc: int, tag: int, start: np.ndarray, stop: np.ndarray, anchor: np.ndarray, rel: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Halves of the contexts of a text's runs. In its half, a context is placed so that its anchor has the same offset
     in all of them; shift is the place of the first window. key is a hash of anchor and of the bytes common to all
     windows that the half can have."""
     kind, windows = _context_type(length), length - GRAM + 1
     half = windows // 2  # windows whose anchor is up to half from the start, and those where it is farther
     room = kind["bytes"].shape[0]
+    place, last = start.astype(np.int64) + rel, stop.astype(np.int64) - length
+    margin = room + length
+    padded = np.concatenate([np.zeros(margin, np.uint8), np.frombuffer(text, np.uint8), np.zeros(margin, np.uint8)])
     out = []
-    for run in found:
-        p, lo, hi = run["start"] + run["rel"], run["start"], run["stop"] - length
-        for far, a, b in ((0, max(lo, p - half), min(hi, p)), (1, max(lo, p - windows + 1), min(hi, p - half - 1))):
-            if a > b:
-                continue
-            origin = p - (windows - 1 if far else half)
-            row = np.zeros((), kind)
-            row["doc"], row["tag"], row["start"], row["shift"], row["windows"] = run["doc"], run["tag"], a, a - origin, b - a + 1
-            part = text[a : b + length]
-            row["bytes"][a - origin : a - origin + len(part)] = np.frombuffer(part, np.uint8)
-            same = text[p - half - 1 : p - windows + 1 + length] if far else text[p : p - half + length]
-            row["key"] = np.uint64((run["anchor"] ^ int.from_bytes(hashlib.blake2b(same, digest_size=8, person=b"far" if far else b"near").digest(), "little")) & ((1 << 64) - 1))
-            assert room >= a - origin + len(part)
-            out.append(row)
-    return np.array(out, kind) if out else np.zeros(0, kind)
+    for far, least, most, origin, begin, end in (
+        (0, place - half, place, place - half, place, place - half + length),
+        (1, place - windows + 1, place - half - 1, place - windows + 1, place - half - 1, place - windows + 1 + length),
+    ):
+        a, b = np.maximum(start, least), np.minimum(last, most)
+        some = np.flatnonzero(a <= b)
+        a, b, origin, begin, end = a[some], b[some], origin[some], begin[some], end[some]
+        rows = np.zeros(len(some), kind)
+        rows["doc"], rows["tag"], rows["start"], rows["shift"], rows["windows"] = doc, tag, a, a - origin, b - a + 1
+        at = origin[:, None] + np.arange(room)
+        rows["bytes"] = np.where((at >= a[:, None]) & (at < b[:, None] + length), padded[at + margin], 0)
+        size = int(end[0] - begin[0]) if len(some) else 0
+        same = np.zeros((len(some), -(-size // 8) * 8), np.uint8)
+        same[:, :size] = padded[begin[:, None] + np.arange(size) + margin]
+        key = anchor[some].view(np.uint64) + np.uint64(far)
+        for word in np.ascontiguousarray(same).view("<u8").T:
+            key = _mix((key ^ word) * np.uint64(0x9FB21C651E98DF25))
+        rows["key"] = key
+        out.append(rows)
+    return np.concatenate(out)
+
+
+def _whole(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts that stay, sorted by key, and those that go as an earlier one of their key is the same, byte by byte."""
+    h = rows["key"].copy()
+    for word in np.ascontiguousarray(rows["bytes"]).view("<u8").T:
+        h = _mix((h ^ word) * np.uint64(0x9FB21C651E98DF25))
+    rows = rows[np.lexsort((rows["start"], rows["doc"], rows["windows"], rows["shift"], h, rows["key"]))]
+    new = np.ones(len(rows), bool)
+    for name in ("key", "shift", "windows"):
+        new[1:] &= rows[name][1:] == rows[name][:-1]
+    new[1:] = ~(new[1:] & (rows["bytes"][1:] == rows["bytes"][:-1]).all(1))
+    head = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
+    gone = (rows["doc"] != head["doc"]) | (rows["start"] != head["start"])
+    return rows[~gone], rows[gone]
 
 
 def _words(block: np.ndarray, at: np.ndarray, count: int) -> list[np.ndarray]:
@@ -297,11 +335,16 @@ def cover_ranks(block: np.ndarray, room: int, length: int) -> np.ndarray:
 def equal_windows(rows: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Spans that go, of contexts sorted by key: windows that start earlier in another context of the same key."""
     room = rows["bytes"].shape[1]
+    rows, gone = _whole(rows)
+    whole = np.zeros(len(gone), SPAN)
+    for name in ("doc", "tag", "start"):
+        whole[name] = gone[name]
+    whole["stop"] = gone["start"] + gone["windows"] - 1 + length
     group = np.cumsum(np.concatenate([[0], rows["key"][1:] != rows["key"][:-1]]))
     many = np.bincount(group)[group] > 1
     rows, group = rows[many], group[many]
     if not len(rows):
-        return np.zeros(0, SPAN)
+        return _merged(whole)
     block = np.ascontiguousarray(rows["bytes"]).reshape(-1)
     rank = cover_ranks(block, room, length)
     row = np.repeat(np.arange(len(rows)), rows["windows"])
@@ -335,7 +378,7 @@ def equal_windows(rows: np.ndarray, length: int = LENGTH) -> np.ndarray:
     out["doc"], out["tag"] = rows["doc"][row[gone]], rows["tag"][row[gone]]
     out["start"] = rows["start"][row[gone]] + step[gone]
     out["stop"] = out["start"] + length
-    return _merged(out)
+    return _merged(np.concatenate([whole, out]))
 
 
 def _by_row(found: DataFrame, fields: list[str]) -> DataFrame:
@@ -357,9 +400,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
+            doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            flat = batch.column(3).flatten()
+            columns = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "stop", "anchor", "rel")]
+            ends = np.cumsum(batch.column(3).value_lengths().to_numpy(zero_copy_only=False))
             out = []
-            for text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out.append(contexts(text.encode(), found, length))
+            for k, text in enumerate(common.byte_texts(batch.column(2))):
+                own = slice(ends[k - 1] if k else 0, ends[k])
+                out.append(contexts(text, doc[k], tag[k], *[c[own] for c in columns], length))
             rows = np.concatenate(out) if out else np.zeros(0, kind)
             parts = _bucketed(rows, rows["key"], deep)
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], ["bucket", "rows"])
@@ -376,8 +424,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         spans = _merged(np.concatenate(spans))
         return pa.table([pa.array(spans[c]) for c in SPAN.names], SPAN.names)
 
-    lists = _by_row(open_, ["doc", "tag", "start", "stop", "anchor", "rel"])
-    fetched = docs.join(lists, ["doc", "tag"]).select("text", "found").mapInArrow(cut, "bucket int, rows binary")
+    lists = _by_row(open_, ["start", "stop", "anchor", "rel"])
+    fetched = docs.join(lists, ["doc", "tag"]).select("doc", "tag", "text", "found").mapInArrow(cut, "bucket int, rows binary")
     more = fetched.groupBy("bucket").applyInArrow(sort, "doc long, tag long, start int, stop int")
     third = common.keep(more, "spans")
     return second.where("anchor IS NULL").select("doc", "tag", "start", "stop").unionByName(third)

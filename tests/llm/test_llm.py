@@ -651,6 +651,59 @@ def test_rows_that_share_an_id_and_null_ids(spark):
     assert got == {9: 0, None: 300}
 
 
+def all_runs(texts, length=100):
+    """Runs of texts as a task has them, and their bytes; a text's number is its doc."""
+    found, parts = [], []
+    for own, offsets, data, ends in suffix_dedup._segments(texts, length):
+        text, first, more, rel, anchor, ctx = suffix_dedup.runs(data, ends, length)
+        out = np.zeros(len(text), suffix_dedup.RUN)
+        out["doc"], out["anchor"], out["ctx"], out["more"], out["rel"] = np.array(own)[text], anchor, ctx, more, rel
+        out["lo"] = first - np.concatenate([[0], ends[:-1]])[text] + np.array(offsets)[text]
+        out["part"], out["at"] = len(parts), first
+        parts.append(data)
+        found.append(out)
+    return np.concatenate(found), parts
+
+
+def plain_gone(texts, length=100):
+    seen, gone = {}, [np.zeros(len(t) + 1, bool) for t in texts]
+    for d, t in enumerate(texts):
+        for i in range(len(t) - length + 1):
+            if seen.setdefault(t[i : i + length], (d, i)) != (d, i):
+                gone[d][i : i + length] = True
+    return gone
+
+
+@pytest.mark.parametrize("collapse", [True, False])
+def test_buckets_alone_decide_every_byte(monkeypatch, collapse):
+    """No run is settled before; without collapse the sort decides about contexts that are equal as a whole too."""
+    if not collapse:
+        monkeypatch.setattr(suffix_dedup, "_whole", lambda rows: (rows, rows[:0]))
+    texts = [(t or "").encode() for t in corpus(90, seed=3)]
+    found, _ = all_runs(texts)
+    rows = []
+    for d, t in enumerate(texts):
+        own = found[found["doc"] == d]
+        rows.append(suffix_dedup.contexts(t, d, 0, own["lo"], own["lo"] + own["more"] + 100, own["anchor"].view(np.int64), own["rel"]))
+    rows = np.concatenate(rows)
+    got = [np.zeros(len(t) + 1, bool) for t in texts]
+    for span in suffix_dedup.equal_windows(rows[np.argsort(rows["key"], kind="stable")]):
+        got[span["doc"]][span["start"] : span["stop"]] = True
+    assert all((a == b).all() for a, b in zip(got, plain_gone(texts), strict=True))
+
+
+def test_hashes_alone_remove_nothing():
+    """Where all contexts of an anchor have one hash, only those that hold the same bytes go."""
+    texts = [(t or "").encode() for t in corpus(90, seed=3)]
+    found, parts = all_runs(texts)
+    found["ctx"] = 0
+    stay, gone = suffix_dedup._split(found, parts, 100)
+    assert len(stay) + len(gone) == len(found) and len(gone)
+    want = plain_gone(texts)
+    for run in gone:
+        assert want[run["doc"]][run["lo"] : run["lo"] + run["more"] + 100].all()
+
+
 def test_shortened_texts(spark):
     rng = random.Random(1)
     a = "é" + "".join(rng.choice("éßxyz") for _ in range(140)) + "é"
