@@ -6,8 +6,10 @@ vectors found within two words of it, counted over all documents: per task first
 the mean of its words' vectors, the mean absolute step between neighbours' and the spread, by letters and by shape.
 The network is fitted on at most sample_rows labelled documents; a fifth of them sets the temperature instead.
 
-Every whole text is scored, null as empty: all pooled values zero. Without labels of both classes the score is
-constant, 0 if all are bad, else 1. Repeated rows are scored alike; a null doc_id isn't held out."""
+Every whole text of any length is scored, in lots of words, null as empty: all pooled values zero. Without labels of both
+classes the score is constant, 0 if all are bad, else 1. Repeated rows are scored alike; a null doc_id isn't held out. Of
+repeated labels of an id the greatest counts, and each row with that id is an example. An empty table gives no rows.
+`quality` reads doc_id, text and the label only; `keep_good` returns all columns, whatever their names."""
 
 from __future__ import annotations
 
@@ -214,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, in_train: Column, sample_rows: int
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"])
 
     some = labelled.sample(docs, labels, "quality", in_train, sample_rows).select("doc_id", "text", "y")
-    got = some.mapInArrow(extract, f"doc_id {dict(docs.dtypes)['doc_id']}, y int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    got = some.mapInArrow(extract, f"doc_id {dict(docs.dtypes)['doc_id']}, y int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending"), ("x", "ascending")])
     y = got["y"].to_numpy()
     if len(y) == 0 or y.min() == y.max():
         return vectors, 0.0 if len(y) and not y[0] else 1.0

@@ -4,8 +4,9 @@ Documents are aggregated by encoded length before anything else is done, so what
 longest document at most, whatever the number of documents. The suffix sums run in blocks of lengths: sums of whole
 blocks first, then sums inside each block, so no window holds the histogram in one task.
 
-Null and empty texts have length 0 and are counted. Repeated rows count each. Special tokens' strings in a text are
-ordinary text. An empty table has an empty histogram."""
+Null and empty texts have length 0 and are counted; texts of any length are encoded whole. Repeated rows count each.
+Special tokens' strings in a text are ordinary text. An empty table has an empty histogram. Only the text is read, so other
+columns of any name don't matter."""
 
 from __future__ import annotations
 

@@ -11,7 +11,8 @@ packed blocks, so no task and no broadcast holds all queries or all vectors.
 
 Vectors that are null, or hold null or non-finite components, take no part, nor do rows without an id. A query is
 matched with vectors of its own length. Rows that share the query's id are its own. Where several rows share a query
-id, the least vector is the query. Ties go to the smaller id. Scores must fit a long."""
+id, the least vector is the query. Ties go to the smaller id. Scores must fit a long. No vectors or no queries give no rows.
+Only vec_id and embedding are read, so other columns of any name don't matter."""
 
 from __future__ import annotations
 

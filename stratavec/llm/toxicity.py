@@ -1,12 +1,16 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 A document's features are the distinct n-grams of its lower-cased text, hashed into a fixed table. Each has the log
-ratio of the parts of toxic and other labelled documents that contain it. A logistic regression on these ratios, over
-the root of the number of features, is fitted to the labels. Both use the same sample: at most sample_rows labelled
-documents outside the held-out fold, chosen by a hash of their ids, whatever the size of the corpus.
+ratio of the parts of toxic and other labelled documents that contain it. Those whose ratio differs from zero by LEAST_Z
+standard errors are used, the FEWEST surest ones where fewer do, and at most the MOST surest. A logistic regression on
+these ratios, over the root of the number of features, is fitted to the labels. Both use the same sample: at most
+sample_rows labelled documents outside the held-out fold, chosen by a hash of their ids, whatever the size of the corpus;
+what reaches the driver is at most two bytes for each of MOST features of each of them.
 
-Every whole text is scored, null as empty: with no features, the intercept's score. Without labels of both classes the
-score is constant, 1 if all are toxic, else 0. Repeated rows are scored alike; a null doc_id isn't held out."""
+Every whole text of any length is scored, null as empty: with no features, the intercept's score. Without labels of both
+classes the score is constant, 1 if all are toxic, else 0. Repeated rows are scored alike; a null doc_id isn't held out. Of
+repeated labels of an id the greatest counts, and each row with that id is an example. An empty table gives no rows. Only
+doc_id, text and the label are read, so other columns of any name don't matter."""
 
 from __future__ import annotations
 
@@ -23,6 +27,8 @@ LOT = 1 << 20
 #: Labelled documents to learn from at most, those that must have a feature for it to count, and standard errors that
 #: its log ratio must differ from zero by.
 SAMPLE_ROWS, LEAST_DOCS, LEAST_Z = 16_000, 3, 4.0
+#: Features that are used at least, if so many are in LEAST_DOCS documents, and at most; their places fit two bytes.
+FEWEST, MOST = 500, 8192
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,13 +73,16 @@ def document_counts(rows: DataFrame) -> np.ndarray:
 
 
 def log_ratios(counts: np.ndarray) -> np.ndarray:
-    """Per feature, log of its smoothed part among class 1 over that among class 0; zero for features that are rare or
-    whose ratio is within LEAST_Z of its own standard errors."""
+    """Per feature, log of its smoothed part among class 1 over that among class 0; zero for features that aren't used."""
     n = counts[:, :-1]
     part = (n + 1) / (counts[:, -1:] + 2)
     ratio = np.log(part[1] / part[0])
-    sure = np.abs(ratio) >= LEAST_Z * np.sqrt((1 / (n + 1)).sum(0))
-    return np.where((n.sum(0) >= LEAST_DOCS) & sure, ratio, 0.0)
+    sure = np.where(n.sum(0) >= LEAST_DOCS, np.abs(ratio) / np.sqrt((1 / (n + 1)).sum(0)), 0.0)
+    many = int(np.clip((sure >= LEAST_Z).sum(), FEWEST, MOST))
+    used = np.argsort(-sure, kind="stable")[:many]
+    out = np.zeros(len(ratio))
+    out[used] = np.where(sure[used] > 0, ratio[used], 0.0)
+    return out
 
 
 def fit(found: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, rounds: int = 8, rate: float = 0.3, decay: float = 1e-5) -> tuple[np.ndarray, float]:
@@ -112,19 +121,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str, in_train: Column, samp
         return Model(none, none != 0, 30.0 if counts[1, -1] else -30.0)
     ratios = log_ratios(counts)
     used = ratios != 0
+    place = np.cumsum(used) - 1
 
     def extract(batches):
         features = Features()
         for batch in batches:
             found = [features(t) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([f[used[f]].astype("<u4").tobytes() for f in found], pa.binary())], ["doc_id", "y", "f"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([place[f[used[f]]].astype("<u2").tobytes() for f in found], pa.binary())], ["doc_id", "y", "f"])
 
-    got = some.mapInArrow(extract, f"doc_id {dict(docs.dtypes)['doc_id']}, y int, f binary").toArrow().sort_by("doc_id")
+    got = some.mapInArrow(extract, f"doc_id {dict(docs.dtypes)['doc_id']}, y int, f binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending"), ("f", "ascending")])
     y = got["y"].to_numpy()
     if len(y) == 0 or y.min() == y.max():
         return Model(none, none != 0, 30.0 if len(y) and y[0] else -30.0)
-    w, b = fit([np.frombuffer(x.as_buffer(), np.uint32) for x in got["f"]], y, ratios)
-    return Model(w, used, b)
+    w, b = fit([np.frombuffer(x.as_buffer(), "<u2") for x in got["f"]], y, ratios[used])
+    coefficients = np.zeros(len(ratios))
+    coefficients[used] = w
+    return Model(coefficients, used, b)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

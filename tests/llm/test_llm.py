@@ -90,7 +90,8 @@ def test_operators_on_an_empty_table(spark, none):
 
 
 def test_filters_keep_the_columns(spark, docs, none):
-    for kept in (simhash.keep_one(docs), quality_rules.keep_good(docs), suffix_dedup.shortened(docs), simhash.keep_one(none)):
+    labels = spark.createDataFrame([(k, k % 2, 0, "x") for k in range(40)], "doc_id long, quality int, toxic int, text string")
+    for kept in (simhash.keep_one(docs), quality_rules.keep_good(docs), suffix_dedup.shortened(docs), simhash.keep_one(none), quality_classifier.keep_good(docs, labels)):
         assert [(n, t) for n, t in kept.dtypes] == docs.dtypes
         kept.count()
 
@@ -236,6 +237,95 @@ def test_classifiers_without_labels(labelled, spark, operator, constant):
     assert (got.predicted == constant).all()
 
 
+@pytest.mark.parametrize("operator", [toxicity.toxicity, quality_classifier.quality])
+def test_classifiers_on_odd_tables(spark, docs, texts, operator):
+    """Columns with clashing names, long and empty texts, repeated labelled ids with different texts and labels."""
+    rng = random.Random(3)
+    extra = frame(spark, [f"{'vile scum ' * (i % 2)}{rng.random()} some words {i}" for i in range(200)], [1000 + i // 2 for i in range(200)])
+    labels = spark.createDataFrame([(1000 + i % 100, i % 2, i % 2, "x") for i in range(150)], "doc_id long, quality int, toxic int, text string")
+    all_docs = docs.unionByName(extra)
+    runs = [sorted((r.doc_id, r.score, r.predicted, r.held_out) for r in operator(d, labels).collect()) for d in (all_docs, all_docs.repartition(5))]
+    assert len(runs[0]) == len(texts) + 200
+    assert runs[0] == runs[1]  # whatever the order of the rows
+    assert all(0 <= s <= 1 and p == (s >= 0.5) for _, s, p, _ in runs[0])
+    long = frame(spark, ["some words here " * 60_000, texts[-1]], [1, 2])
+    assert operator(long.unionByName(extra), labels).count() == 202
+
+
+def test_ngrams_and_log_ratios_against_brute_force():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcD é") for _ in range(rng.randint(0, 40))) for _ in range(80)]
+    y = [rng.randrange(2) for _ in texts]
+    features = toxicity.Features()
+    grams = [{t.lower()[i : i + n] for n in (3, 4, 5) for i in range(len(t.lower()) - n + 1)} for t in texts]
+    place = {}
+    for g in sorted(set().union(*grams)):
+        own = [p for p in features(g) if len(g) == 3 or p not in set().union(*[set(features(g[i : i + n]).tolist()) for n in range(3, len(g)) for i in range(len(g) - n + 1)])]
+        place[g] = own[0] if own else None
+    assert len(set(place.values())) > 0.99 * len(place)  # hashing keeps nearly all apart
+    counts = np.zeros((2, (1 << toxicity.BITS) + 1), np.int64)
+    for t, g, label in zip(texts, grams, y, strict=True):
+        found = features(t)
+        assert {place[x] for x in g if place[x] is not None} <= set(found.tolist())
+        assert len(found) <= len(g)
+        counts[label, found] += 1
+        counts[label, -1] += 1
+    ratios = toxicity.log_ratios(counts)
+    sizes = [y.count(0), y.count(1)]
+    sure = {}
+    for g, p in place.items():
+        n = [sum(p in set(features(t).tolist()) for t, label in zip(texts, y, strict=True) if label == c) for c in (0, 1)] if len(g) == 3 else None
+        if n and sum(n) >= toxicity.LEAST_DOCS:
+            want = np.log((n[1] + 1) / (sizes[1] + 2)) - np.log((n[0] + 1) / (sizes[0] + 2))
+            sure[p] = abs(want) / np.sqrt(1 / (n[0] + 1) + 1 / (n[1] + 1))
+            assert ratios[p] == 0 or ratios[p] == pytest.approx(want)
+    assert 0 < (ratios != 0).sum() <= toxicity.FEWEST
+
+
+def test_few_labels_still_separate(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(200)]
+    rows = [(i, " ".join([rng.choice(words) for _ in range(30)] + ["dreadful moron"] * (i % 4 == 0))) for i in range(80)]
+    got = toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "doc_id long, toxic int")).toPandas()
+    assert ((got.score >= 0.5) == (got.doc_id % 4 == 0)).mean() > 0.95
+
+
+def test_word_vectors_and_pooling_against_brute_force(spark, monkeypatch):
+    qc = quality_classifier
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["One", "two", "three!", "4", "ünd", "x"]) for _ in range(rng.randint(0, 30))) for _ in range(25)]
+    codes = np.array(qc.index_codes())
+    index = np.zeros((qc.ENTRIES, qc.DIM))
+    for c in codes:
+        index[np.arange(qc.ENTRIES), c // 2] += 1 - 2 * (c % 2)
+    both = lambda w: (qc.entry(w.encode()) // qc.SHAPES, qc.entry(w.encode()) % qc.SHAPES + qc.WORDS)
+    sums = np.zeros((qc.ENTRIES, qc.DIM))
+    for t in texts:
+        ws = [both(w) for w in t.split()]
+        for i, own in enumerate(ws):
+            for j in range(max(0, i - qc.REACH), min(len(ws), i + qc.REACH + 1)):
+                if i != j:
+                    for a in own:
+                        sums[a] += index[list(ws[j])].sum(0)
+    size = np.linalg.norm(sums, axis=1, keepdims=True)
+    want = sums / (size + 10)
+    want = np.where(size > 0, want - want.sum(0) / (size > 0).sum(), 0)
+    vectors = qc.word_vectors(frame(spark, texts).repartition(3))
+    assert np.allclose(vectors, want, atol=1e-5)
+    rows = qc.pooled([t.encode() for t in texts], vectors, qc.known_entries())
+    monkeypatch.setattr(qc, "LOT", 7)
+    assert np.allclose(rows, qc.pooled([t.encode() for t in texts], vectors, qc.known_entries()), atol=0.2)  # lots only part neighbours
+    for t, row in zip(texts, rows, strict=True):
+        ws = [both(w) for w in t.split()]
+        out = []
+        for k in (0, 1):
+            v = vectors[[w[k] for w in ws]].astype(float) if ws else np.zeros((0, qc.DIM))
+            n = max(len(v), 1)
+            mean, square = v.sum(0) / n, (v * v).sum(0) / n
+            out += [mean, np.abs(np.diff(v, axis=0)).sum(0) / n if len(v) > 1 else np.zeros(qc.DIM), np.sqrt(np.maximum(square - mean**2, 0))]
+        assert np.allclose(row, [*np.concatenate(out), np.log1p(len(ws))], atol=1e-4)
+
+
 def test_temperature_is_fitted():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4))
@@ -756,6 +846,12 @@ def test_top_k(spark, monkeypatch, scale):
         assert [got[i, r + 1] for r in range(5)] == [(j, scores[j]) for j in order]
 
 
+def test_columns_beside_the_vectors(spark):
+    rows = spark.createDataFrame([(i, [float(i), 1.0], 5, 6, 7.0) for i in range(60)], "vec_id long, embedding array<float>, score long, rank int, v double")
+    vectors = topk.quantized(rows)
+    assert topk.top_k(vectors, vectors.where("vec_id % 50 = 0")).count() == 10
+
+
 def test_fewer_vectors_than_k(spark):
     vectors = topk.quantized(spark.createDataFrame([(0, [1.0]), (1, [2.0]), (1, [2.0])], "vec_id long, embedding array<float>"))
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in topk.top_k(vectors, vectors.where("vec_id = 0")).collect())
