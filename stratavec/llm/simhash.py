@@ -82,12 +82,12 @@ def anchors(high: np.ndarray, low: np.ndarray, excess: int, exact: bool = False)
 
 
 @functools.cache
-def meeting_odds(similarity: float, excess: int) -> float:
-    """Odds that of two sets of that similarity one's fingerprint is a guest at the other's home, on 23 bits; counted on
-    drawn words whose bits differ as random hyperplanes expect."""
+def meeting_odds(p: float, excess: int) -> float:
+    """Odds that of two fingerprints whose bits differ with odds p one is a guest at the other's home, on 23 bits; counted
+    on drawn words."""
     rng = np.random.default_rng(SEED)
-    x = rng.integers(0, 1 << HALF, 100_000)
-    y = x ^ (rng.random((len(x), HALF)) < bit_odds(similarity)) @ (1 << np.arange(HALF))
+    x = rng.integers(0, 1 << HALF, 50_000)
+    y = x ^ (rng.random((len(x), HALF)) < p) @ (1 << np.arange(HALF))
     homes = [w ^ _shifts(0)[0][_shifts(0)[1][_remainder(w)]] for w in (x, y)]
     return float(((np.bitwise_count(homes[0] ^ y) <= RADIUS + excess) | (np.bitwise_count(homes[1] ^ x) <= RADIUS + excess)).mean())
 
@@ -97,10 +97,27 @@ def bit_odds(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def tables_for(similarity: float, exact: int, excess: int, recall: float) -> int:
-    """Tables of which at least one brings two such sets together with odds of recall."""
-    once = meeting_odds(similarity, excess) * (1 - bit_odds(similarity)) ** exact
-    return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - once))))
+def most_bits(similarity: float, bits: int) -> int:
+    """Differing bits up to which fingerprints propose sets of that similarity: what is expected, and three standard
+    deviations."""
+    p = bit_odds(similarity)
+    return int(bits * p + 3 * np.sqrt(bits * p * (1 - p)))
+
+
+@functools.cache
+def tables_for(similarity: float, bits: int, exact: int, excess: int, recall: float) -> int:
+    """Tables of which at least one brings two such sets together with odds of recall. All tables take their bits from the
+    same fingerprint, so for each number of bits that may differ in it the odds are reckoned apart."""
+    p = bit_odds(similarity)
+    far = np.arange(1, most_bits(similarity, bits) + 1)
+    far = far[far > bits * p - 5 * np.sqrt(bits * p * (1 - p))]
+    logs = np.cumsum(np.log(np.concatenate([[1.0], np.arange(1, bits + 1)])))
+    weight = np.exp(logs[bits] - logs[far] - logs[bits - far] + far * np.log(p) + (bits - far) * np.log(1 - p))
+    once = np.array([meeting_odds(d / bits, excess) * (1 - d / bits) ** exact for d in far.tolist()])
+    tables = 1
+    while (weight * (1 - (1 - once) ** tables)).sum() < recall * weight.sum():
+        tables += 1
+    return tables
 
 
 def _mixed(h: np.ndarray, plane: int) -> np.ndarray:
@@ -349,13 +366,6 @@ def _owners(distinct: DataFrame, edges: DataFrame) -> DataFrame:
     return owner
 
 
-def most_bits(similarity: float, bits: int) -> int:
-    """Differing bits up to which fingerprints propose sets of that similarity: what is expected, and two and a half
-    standard deviations."""
-    p = bit_odds(similarity)
-    return int(bits * p + 2.5 * np.sqrt(bits * p * (1 - p)))
-
-
 def _verified(ids: np.ndarray, side: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], most: int, similarity: float) -> list[tuple[int, int]]:
     """Links that span what is similar among documents near each other by fingerprint: the nearest are compared first, and
     none that are joined already. Where both sides occur, only pairs of one with the other are looked at."""
@@ -388,8 +398,8 @@ def _linked_in_groups(members: DataFrame, most: int, similarity: float, planes:
     leaves its task but those of a spanning forest."""
     spark = members.sparkSession
     blocks = F.when(F.col("n") <= 64, 1).otherwise(F.ceil(F.sqrt("n") / 2)).cast("int")
-    sizes = common.keep(members.groupBy("grp").agg(F.count("*").alias("n")), "sizes").select("grp", blocks.alias("blocks"))
-    placed = members.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    sizes = common.keep(members.groupBy("grp").agg(F.count("*").alias("n")), "sizes")
+    placed = members.join(sizes.select("grp", blocks.alias("blocks")), "grp").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     total = placed.agg(F.sum(F.octet_length("shingles") * F.col("blocks"))).first()[0] or 0
     buckets = common.parts_for(spark, total, 8 << 20)
     each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -405,7 +415,9 @@ def _linked_in_groups(members: DataFrame, most: int, similarity: float, planes:
         found = [pair for a, b in zip(edge, [*edge[1:], len(grp)], strict=True) for pair in _verified(ids[a:b], block[a:b], fps[a:b], sets[a:b], most, similarity)]
         return pa.table({c: pa.array([p[k] for p in found], pa.int64()) for k, c in enumerate("uv")})
 
-    return each.groupBy("bucket").applyInArrow(compare, "u long, v long")
+    found = common.keep(each.groupBy("bucket").applyInArrow(compare, "u long, v long"), "links")
+    common.drop(sizes)
+    return found
 
 
 def linked_by_similarity(docs: DataFrame, words: int = 5, similarity: float = 0.8, planes: int = 2, recall: float = 0.95) -> DataFrame:
@@ -423,7 +435,7 @@ def linked_by_similarity(docs: DataFrame, words: int = 5, similarity: float = 0.
     distinct = common.keep(sets.groupBy("id").agg(F.first("fp").alias("fp"), F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tag")).alias("row")).select("id", "fp", F.col("row.doc_id").alias("least"), "row.tag"), "distinct")
     count = distinct.count()
     exact = int(min(max(np.ceil(np.log2(max(count, 1) / (64 << 12))), 7), 24))
-    covering = Covering(planes, tables_for(similarity, exact, 1, recall), 1, exact)
+    covering = Covering(planes, tables_for(similarity, 64 * planes, exact, 1, recall), 1, exact)
     proposals = common.keep(links(distinct, covering, most, count), "proposals")
     groups = common.components(proposals)
     common.drop(proposals)
@@ -440,7 +452,7 @@ def linked_by_similarity(docs: DataFrame, words: int = 5, similarity: float = 0.
     mine = texts["doc_id"].eqNullSafe(chosen["least"]) & (texts["tag"] == chosen["tag"])
     made = texts.join(chosen, mine, "left_semi").select("text").mapInArrow(shingles, "id long, shingles binary").dropDuplicates(["id"])
     members = common.keep(made.join(chosen.select("id", "fp", "grp"), "id").select("grp", "id", "fp", "shingles"), "members")
-    edges = common.keep(_linked_in_groups(members, most, similarity, planes), "links")
+    edges = _linked_in_groups(members, most, similarity, planes)
     common.drop(chosen, members)
     owner = _owners(distinct, edges)
     common.drop(distinct, edges)

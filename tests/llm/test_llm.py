@@ -445,6 +445,108 @@ def test_near_dedup_keeps_what_is_less_similar(spark):
     assert len([i for i, s in pairs if s >= 0.8 and 100 + i in got]) <= 1
 
 
+def jaccard_of_shingles(texts, words):
+    sets = [{tuple(t.split()[k : k + words]) for k in range(max(1, len(t.split()) - words + 1))} for t in texts]
+    return lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+
+
+def test_recall_and_precision_of_near_copies(spark):
+    """Against all pairs compared exactly: most of what has the similarity, hardly above it too, is linked, nothing else."""
+    rng = random.Random(26)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(4000)]
+    texts = []
+    for i in range(150):
+        body = [rng.choice(words) for _ in range(rng.randint(60, 260))]
+        texts.append(" ".join(body))
+        for at in range(8, len(body), rng.choice([45, 50, 60, 90])):  # each word is in five shingles
+            body[at] = rng.choice(words)
+        texts.append(" ".join(body))
+    similar = jaccard_of_shingles(texts, 5)
+    due = {(i, i + 1) for i in range(0, 300, 2) if similar(i, i + 1) >= 0.8}
+    barely = [p for p in due if similar(*p) < 0.85]
+    assert len(due) > 80 and len(barely) > 20
+    got = {r.doc_id: r.component_id for r in simhash.linked_by_similarity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    linked = {(c, d) for d, c in got.items() if c != d}
+    assert linked <= due
+    assert len(linked) >= 0.95 * len(due)
+    assert len([p for p in barely if p in linked]) >= 0.9 * len(barely)
+
+
+def test_a_group_of_texts_that_resemble_each_other(spark):
+    """Over a hundred variants of a text: links are those of all pairs compared exactly, though each block sees a few."""
+    rng = random.Random(27)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(4000)]
+    body = [rng.choice(words) for _ in range(200)]
+    texts = []
+    for _ in range(130):
+        own = list(body)
+        for at in rng.sample(range(200), rng.choice([2, 4, 6, 8])):
+            own[at] = rng.choice(words)
+        texts.append(" ".join(own))
+    similar = jaccard_of_shingles(texts, 5)
+    root = list(range(130))
+    for i in range(130):
+        for j in range(i):
+            if similar(i, j) >= 0.8 and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    got = {r.doc_id: r.component_id for r in simhash.linked_by_similarity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), recall=0.9999).collect()}
+    assert sum(got[i] != root[i] for i in range(130)) <= 6  # pairs farther apart by bits than the tables propose
+    assert len(set(got.values())) > 1
+    fp = [np.frombuffer(simhash._majority([simhash.shingle_set(t.encode(), 5)], 2), np.uint64) for t in texts]
+    sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
+    pairs = simhash._verified(np.arange(130), np.arange(130) % 2, np.array(fp), sets, 128, 0.8)
+    assert all(i % 2 != j % 2 and similar(i, j) >= 0.8 for i, j in pairs)
+
+
+def test_crowded_anchors_are_split(spark, monkeypatch):
+    """Anchors with more homes or rows than a task should hold: the same links, by parts that meet each other."""
+    rng = random.Random(14)
+    centre = rng.getrandbits(64)
+    distinct = {centre}
+    while len(distinct) < 500:
+        one = rng.choice(sorted(distinct)) if rng.random() < 0.5 else centre
+        for _ in range(rng.randint(1, 5)):
+            one ^= 1 << rng.randrange(64)
+        distinct.add(one)
+    distinct = sorted(distinct)
+    ids = [f - (1 << 64) if f >> 63 else f for f in distinct]
+    items = spark.createDataFrame([(i, f.to_bytes(8, "big")) for i, f in zip(ids, distinct, strict=True)], "id long, fp binary")
+    monkeypatch.setattr(simhash, "HOMES", 10)
+    monkeypatch.setattr(simhash, "ROWS", 40)
+    covering = simhash.Covering(1, 1, 2)
+    parts = covering.split(items, len(distinct))
+    assert max(parts.values()) > 4
+    roots = {r.u: r.v for r in common.components(simhash.links(items, covering, 2, len(distinct))).collect()}
+    assert [roots.get(i, i) for i in ids] == plain_components(ids, distinct, 2)
+
+
+def test_only_tables_that_a_result_reads_stay(spark, docs):
+    import os
+
+    folder = common.shared_folder(spark).removeprefix("file://")
+
+    def left(run):
+        before = set(os.listdir(folder))
+        out = run()
+        if out is not None:
+            out.collect()
+        return sorted(n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before)
+
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    assert left(lambda: simhash.keep_one(docs)) == ["gone"]
+    assert left(lambda: simhash.linked_by_similarity(docs)) == ["linked"]
+    assert left(lambda: simhash.linked_by_distance(docs)) == ["components", "fingerprints"]
+    assert left(lambda: suffix_dedup.removed(docs)) == ["runs", "spans"]
+    assert left(lambda: packing.pack_documents(docs, WORD_BPE)) == ["pieces"]
+    assert left(lambda: quality_rules.judged(docs)) == left(lambda: quality_rules.keep_good(docs)) == []
+    assert left(lambda: toxicity.toxicity(docs, labels)) == left(lambda: quality_classifier.quality(docs, labels)) == []
+    assert left(lambda: token_counts.token_counts(docs, BYTES)) == ["histogram"]
+    assert left(lambda: bpe.encoded(docs, MULTI)) == []
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://a.org/").alias("url"), F.col("text").alias("html"))
+    assert left(lambda: warc.archive(pages, common.new_path(spark, "warc")).rows()) == ["warc"]
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1100)] + [(7, 7)]
