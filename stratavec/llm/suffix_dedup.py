@@ -381,6 +381,15 @@ def equal_windows(rows: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return _merged(np.concatenate([whole, out]))
 
 
+def _packed(data: bytes) -> bytes:
+    """Contexts overlap and are padded, so they take far less compressed; the length goes before."""
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def _by_row(found: DataFrame, fields: list[str]) -> DataFrame:
     """One list for each row of the documents; it is no longer than the text."""
     return found.groupBy("doc", "tag").agg(F.collect_list(F.struct(*fields)).alias("found"))
@@ -410,10 +419,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append(contexts(text, doc[k], tag[k], *[c[own] for c in columns], length))
             rows = np.concatenate(out) if out else np.zeros(0, kind)
             parts = _bucketed(rows, rows["key"], deep)
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], ["bucket", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([_packed(p[1]) for p in parts], pa.binary())], ["bucket", "rows"])
 
     def sort(table: pa.Table) -> pa.Table:
-        rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), kind)
+        rows = np.frombuffer(b"".join(map(_unpacked, table.column("rows").to_pylist())), kind)
         rows = rows[np.argsort(rows["key"], kind="stable")]
         cuts, spans = [0], []
         edge = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]))
