@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stratavec.functions import hashing, vectors
 from stratavec.functions.hashing import HashFamily
-from stratavec.operators import ann, blocks, dbscan, estimators, gradient, kmeans, metrics, pq, projection, sampling, tuning
+from stratavec.operators import ann, blocks, components, dbscan, estimators, gradient, kmeans, metrics, pq, projection, sampling, tuning
 from stratavec.sources import vectors as sources
 from stratavec.sources.catalog import Engine
 from stratavec.sources.reports import Report
@@ -121,6 +121,26 @@ def test_covariance_is_numpys(cloud, local):
     assert np.allclose(got, np.cov(x.T), atol=1e-6)
 
 
+@pytest.mark.parametrize("lot", [1_000_000, 7])
+def test_components(spark, monkeypatch, lot):
+    monkeypatch.setattr(components, "LOT", lot)
+    rng = np.random.default_rng(3)
+    edges = [*map(tuple, rng.integers(0, 500, (400, 2)).tolist()), *((i, i + 1) for i in range(1000, 1200)), (5, 5)]
+    root = {v: v for e in edges for v in e}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    found = components.components(spark.createDataFrame(edges, "u long, v long").repartition(6))
+    assert {r.u: r.v for r in found.collect()} == {v: find(v) for v in root if find(v) != v}
+    assert components.components(spark.createDataFrame([], "u long, v long")).isEmpty()
+
+
 def test_numbers_follow_the_order(spark):
     values = spark.range(0, 5000, 7).repartition(5)
     assert sorted((r.n, r.id) for r in dbscan.numbered(values, "id", "n").collect()) == [(k + 1, 7 * k) for k in range(715)]
