@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.components import components, forest
 from ..sources.scratch import drop, keep, new_path, shared_folder
 
 __all__ = ["bounded", "byte_texts", "components", "drop", "forest", "keep", "new_path", "parts_for", "shared_folder", "with_fields", "wrapped"]
@@ -45,54 +45,3 @@ def byte_texts(column: pa.Array) -> list[bytes]:
 
 def parts_for(spark: SparkSession, rows: int, per_part: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part))
-
-
-def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Local components of the edges u-v as (child, root) pairs, one per vertex that isn't its component's minimum."""
-    ids, inverse = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = inverse[: len(u)], inverse[len(u) :]
-    root = np.arange(len(ids))
-    while True:
-        ra, rb = root[a], root[b]
-        if np.array_equal(ra, rb):
-            break
-        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-        while not np.array_equal(up := root[root], root):
-            root = up
-    child = root != np.arange(len(ids))
-    return ids[child], ids[root[child]]
-
-
-def _grown(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row.n, row.x
-
-
-def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Hang every larger neighbour of u on the least vertex next to u. Gives a kept table and the edges that read it."""
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star")
-    return least, both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Hang the smaller neighbours of u, and u, on the least of them. Edges run from the larger u to the smaller v."""
-    least = keep(edges.groupBy("u").agg(F.min("v").alias("m")), "star")
-    hung = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return least, hung.union(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (u, v) of longs: (u, v) with v the least vertex of u's component, for every
-    vertex that isn't its component's least. Alternates large-star and small-star rounds until nothing changes, which
-    takes about as many as the square of the logarithm of the vertices at most. Each round is written to the shared folder
-    and the one before dropped. Loops and repeated edges are allowed, no edges give no rows."""
-    now = keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
-    mark, before = _grown(now), None
-    while mark[0] and mark != before:
-        for star in (_large_star, _small_star):
-            least, new = star(now)
-            old, now = now, keep(new, "edges")
-            drop(least, old)
-        mark, before = _grown(now), mark
-    return now
