@@ -129,6 +129,7 @@ def encoded(docs: DataFrame, ranks_path: str, with_ids: bool = False) -> DataFra
 
     def run(batches):
         encoder = encoder_of(ranks_path)
+        tokens.alone(encoder.pairs, encoder.leaves, encoder.known)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -28,6 +28,7 @@ def encoded_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int =
 
     def cut(batches):
         known = tokens.word_ids(tokenizer)
+        tokens.alone(known)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             out: list[tuple] = []

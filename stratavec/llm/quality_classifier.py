@@ -104,6 +104,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     def count(batches):
         codes = index_codes()
         known, total = known_entries(), np.zeros(ENTRIES * DIM * 2 + 1, np.int64)
+        tokens.alone(known)
         for batch in batches:
             for lot in _lots(common.byte_texts(batch.column(0))):
                 words, shapes = _entries([w for _, ws in lot for w in ws], known)
@@ -211,6 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, in_train: Column, sample_rows: int
 
     def extract(batches):
         known = known_entries()
+        tokens.alone(known)
         for batch in batches:
             x = pooled(common.byte_texts(batch.column(1)), vectors, known)
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"])
@@ -228,6 +230,7 @@ def scored(docs: DataFrame, vectors: np.ndarray, network: Network | float) -> Da
 
     def run(batches):
         known = known_entries()
+        tokens.alone(known)
         for batch in batches:
             texts = common.byte_texts(batch.column("text"))
             found = np.full(len(texts), network) if isinstance(network, float) else network.scores(pooled(texts, vectors, known))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, tokens
 
 SEED = 42
 HALF, RADIUS = 23, 3
@@ -179,6 +179,7 @@ def fingerprints(docs: DataFrame, words: int, planes: int = 1) -> DataFrame:
     """(doc_id, fp binary of 8 bytes a plane) per document."""
 
     def make(batches):
+        tokens.alone()
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([fingerprint(t, words, planes) for t in common.byte_texts(batch.column(1))], pa.binary())], ["doc_id", "fp"])
 
@@ -189,6 +190,7 @@ def set_fingerprints(docs: DataFrame, words: int, planes: int) -> DataFrame:
     """(doc_id, tag, id, fp) per document: hashes of the text and of its set of shingles, and the set's fingerprint."""
 
     def make(batches):
+        tokens.alone()
         for batch in batches:
             sets = [shingle_set(t, words) for t in common.byte_texts(batch.column(2))]
             fps = [_majority((s[at : at + LOT] for at in range(0, len(s), LOT)), planes) for s in sets]
@@ -210,6 +212,8 @@ def _set_ids(sets: list[np.ndarray]) -> np.ndarray:
 #: Homes of an anchor, and rows that lie at one, above which it is split. At most ANCHORS_SPLIT anchors are, so what the
 #: driver sends to tasks of them is bounded: the limit follows the number of rows where that would be more.
 HOMES, ROWS, ANCHORS_SPLIT, MOST_PARTS = 20_000, 200_000, 50_000, 64
+#: Fingerprints replicated at once.
+REPLICATED = 1024
 #: Multipliers of a hash of ids, and of one of keys.
 _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -244,8 +248,8 @@ class Covering:
         def counted(excess, homes):
             def count_keys(batches):
                 for batch in batches:
-                    for lot in range(0, batch.num_rows, LOT):
-                        part = batch.slice(lot, LOT)
+                    for lot in range(0, batch.num_rows, 8 * REPLICATED):
+                        part = batch.slice(lot, 8 * REPLICATED)
                         ids, fps = part.column("id").to_numpy(), np.array([*part.column("fp").to_pylist(), None], object)[:-1]
                         if homes is not None:
                             crowded = np.zeros(len(ids), bool)
@@ -322,8 +326,8 @@ def links(items: DataFrame, covering: Covering, most: int, count: int) -> DataFr
 
     def replicate(batches):
         for batch in batches:
-            for lot in range(0, batch.num_rows, 4096):
-                part = batch.slice(lot, 4096)
+            for lot in range(0, batch.num_rows, REPLICATED):
+                part = batch.slice(lot, REPLICATED)
                 rows = np.concatenate([covering.parted(r, parts) for r in covering.rows(part.column("id").to_numpy(), part.column("fp").to_pylist())])
                 bucket = (rows["key"].astype(np.uint64) * _ODD[1] >> np.uint64(33)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
@@ -335,7 +339,7 @@ def links(items: DataFrame, covering: Covering, most: int, count: int) -> DataFr
     def compare(table: pa.Table) -> pa.Table:
         rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), covering.kind)
         rows = rows[np.argsort(rows["key"], kind="stable")]
-        u, v = _forest(_near(rows, 1_000_000, most))
+        u, v = _forest(_near(rows, 250_000, most))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     packed = items.select("id", "fp").mapInArrow(replicate, "bucket int, rows binary")

@@ -33,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, tokens
 
 LENGTH, GRAM, PERIOD = 100, 32, 32
 #: Bytes hashed at once, at most 2 ** POSITION_BITS; longer texts are taken in overlapping parts.
 SEGMENT, POSITION_BITS = 1 << 18, 20
 #: Runs that a task gathers before it sends them, and runs in a bucket on average.
-LOT, BUCKET_RUNS = 600_000, 300_000
+LOT, BUCKET_RUNS = 400_000, 300_000
+#: Runs whose contexts are cut at once.
+CUT_RUNS = 4096
 NO_ID = (1 << 63) - 1
 #: A run as it is sent, and as a task compares it: with the hash of its context, and where its bytes are.
 SENT = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("lo", "<i4"), ("more", "<u2"), ("rel", "<u2")])
@@ -134,16 +136,18 @@ def _segments(texts: list[bytes], length: int):
 def _split(found: np.ndarray, parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """Runs that stay, and those whose bytes go as an earlier run has the same context. Hashes bring runs together, their
     bytes are compared. Runs at the same place of the same document's rows don't remove each other."""
-    found = found[np.lexsort((found["lo"], found["doc"], found["ctx"], found["anchor"]))]
+    order = np.lexsort((found["lo"], found["doc"], found["ctx"], found["anchor"]))
     new = np.ones(len(found), bool)
-    new[1:] = (found["anchor"][1:] != found["anchor"][:-1]) | (found["ctx"][1:] != found["ctx"][:-1])
-    head = found[np.maximum.accumulate(np.where(new, np.arange(len(found)), 0))]
-    again = np.flatnonzero((found["doc"] != head["doc"]) | (found["lo"] != head["lo"]))
-    size = found["more"][again].astype(np.int64) + length
-    sides = [x.tolist() for side in (found[again], head[again]) for x in (side["part"], side["at"], side["at"] + size)]
-    equal = np.fromiter((parts[p][a:b] == parts[q][c:d] for p, a, b, q, c, d in zip(*sides, strict=True)), bool, len(again))
+    new[1:] = (found["anchor"][order[1:]] != found["anchor"][order[:-1]]) | (found["ctx"][order[1:]] != found["ctx"][order[:-1]])
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(found)), 0))]
+    again = (found["doc"][order] != found["doc"][first]) | (found["lo"][order] != found["lo"][first])
+    order, first = order[again], first[again]
     gone = np.zeros(len(found), bool)
-    gone[again[equal]] = True
+    for at in range(0, len(order), 50_000):
+        run, head = found[order[at : at + 50_000]], found[first[at : at + 50_000]]
+        size = run["more"].astype(np.int64) + length
+        sides = [x.tolist() for side in (run, head) for x in (side["part"], side["at"], side["at"] + size)]
+        gone[order[at : at + 50_000]] = [parts[p][a:b] == parts[q][c:d] for p, a, b, q, c, d in zip(*sides, strict=True)]
     return found[~gone], found[gone]
 
 
@@ -185,6 +189,7 @@ def _first_pass(docs: DataFrame, buckets: int, length: int) -> DataFrame:
     """(bucket, runs, spans): the runs that stay in their task, by anchor, and spans that go already."""
 
     def scan(batches):
+        tokens.alone()
         waiting: list[np.ndarray] = []
         parts: list[bytes] = []
         sent = 0
@@ -257,11 +262,12 @@ def contexts(text: bytes, doc: int, tag: int, start: np.ndarray, stop: np.ndarra
     margin = room + length
     padded = np.concatenate([np.zeros(margin, np.uint8), np.frombuffer(text, np.uint8), np.zeros(margin, np.uint8)])
     out = []
-    for far, least, most, origin, begin, end in (
-        (0, place - half, place, place - half, place, place - half + length),
-        (1, place - windows + 1, place - half - 1, place - windows + 1, place - half - 1, place - windows + 1 + length),
-    ):
-        a, b = np.maximum(start, least), np.minimum(last, most)
+    lots = [slice(at, at + CUT_RUNS) for at in range(0, len(place), CUT_RUNS)]
+    for lot, far in ((lot, far) for lot in lots for far in (0, 1)):
+        p = place[lot]
+        least, most, begin = (p - windows + 1, p - half - 1, p - half - 1) if far else (p - half, p, p)
+        origin, end = least, least + length
+        a, b = np.maximum(start[lot], least), np.minimum(last[lot], most)
         some = np.flatnonzero(a <= b)
         a, b, origin, begin, end = a[some], b[some], origin[some], begin[some], end[some]
         rows = np.zeros(len(some), kind)
@@ -271,12 +277,12 @@ def contexts(text: bytes, doc: int, tag: int, start: np.ndarray, stop: np.ndarra
         size = int(end[0] - begin[0]) if len(some) else 0
         same = np.zeros((len(some), -(-size // 8) * 8), np.uint8)
         same[:, :size] = padded[begin[:, None] + np.arange(size) + margin]
-        key = anchor[some].view(np.uint64) + np.uint64(far)
+        key = anchor[lot][some].view(np.uint64) + np.uint64(far)
         for word in np.ascontiguousarray(same).view("<u8").T:
             key = _mix((key ^ word) * np.uint64(0x9FB21C651E98DF25))
         rows["key"] = key
         out.append(rows)
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, kind)
 
 
 def _whole(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

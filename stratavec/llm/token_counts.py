@@ -35,6 +35,7 @@ def with_lengths(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFra
 
     def count(batches):
         lengths = _lengths(tokenizer)
+        tokens.alone(lengths)
         for batch in batches:
             found = [sum(map(lengths.__getitem__, tokens.pieces(x or ""))) for x in batch.column(0).to_pylist()]
             yield pa.record_batch([pa.array(found, pa.int64())], ["n_tokens"])

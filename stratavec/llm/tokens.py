@@ -7,6 +7,7 @@ from __future__ import annotations
 import base64
 import functools
 import re
+import weakref
 from sys import getsizeof
 
 #: Spaces between other signs, after which the pattern's matches always begin anew.
@@ -49,12 +50,30 @@ def pieces(text: str) -> list[str]:
     return [first, *[x if x[0] == "\n" else " " + x for x in rest]]
 
 
+_caches: list[weakref.ref] = []
+
+
+def alone(*mine: Cached) -> None:
+    """A task's first call: what other operators' tasks remembered in this worker goes."""
+    for ref in list(_caches):
+        cache = ref()
+        if cache is None:
+            _caches.remove(ref)
+        elif cache and not any(cache is m for m in mine):
+            cache.forget()
+
+
 class Cached(dict):
     """What make(piece) gives, remembered while all that is remembered stays below most bytes."""
 
     def __init__(self, make, most: int = CACHE_BYTES):
         super().__init__()
         self.make, self.most, self.size = make, most, 0
+        _caches.append(weakref.ref(self))
+
+    def forget(self) -> None:
+        self.clear()
+        self.size = 0
 
     def __missing__(self, piece):
         value = self.make(piece)
