@@ -276,16 +276,28 @@ def coarse_cells(points: DataFrame, cells: int, steps: int = 5, seed: int = 42)
     return centres, assigned(points, centres).select("id", F.col("label").alias("cell"))
 
 
+def _near_cells(queries: DataFrame, centres: np.ndarray, n_probe: int, *columns: Column | str) -> DataFrame:
+    far = F.transform(F.lit(centres.tolist()), lambda c, i: F.struct(vectors.squared_l2(F.col("v"), c).alias("d"), i.alias("cell")))
+    asked = queries.select("q_id", *columns, F.explode(F.slice(F.array_sort(far), 1, n_probe)).alias("near"))
+    return asked.withColumn("cell", F.col("near.cell")).drop("near")
+
+
 def cell_search(points: DataFrame, codes: DataFrame, queries: DataFrame, book: Codebook, centres: np.ndarray, n_probe: int = 2, k: int = 10) -> DataFrame:
     """Distances to codes only in each query's n_probe nearest cells; codes are (id, cell, pq_code)."""
     from .ann import ranked
 
-    far = F.transform(F.lit(centres.tolist()), lambda c, i: F.struct(vectors.squared_l2(F.col("v"), c).alias("d"), i.alias("cell")))
-    asked = queries.select("q_id", book.tables(F.col("v"), True).alias("tables"), F.explode(F.slice(F.array_sort(far), 1, n_probe)).alias("near"))
-    pairs = asked.select("q_id", "tables", F.col("near.cell").alias("cell")).join(codes, "cell").where("q_id <> id")
+    pairs = _near_cells(queries, centres, n_probe, book.tables(F.col("v"), True).alias("tables")).join(codes, "cell").where("q_id <> id")
     return ranked(pairs.select("q_id", "id", summed_distance(F.col("tables"), F.col("pq_code"), True).alias("dist")), k)
 
 
+def cell_search_exact(points: DataFrame, queries: DataFrame, centres: np.ndarray, n_probe: int = 2, k: int = 10) -> DataFrame:
+    """Distances to the vectors in each query's n_probe nearest cells; points are (id, v, cell)."""
+    from .ann import ranked
+
+    pairs = _near_cells(queries, centres, n_probe, F.col("v").alias("q")).join(points.select("id", "v", "cell"), "cell").where("q_id <> id")
+    return ranked(pairs.select("q_id", "id", vectors.l2(F.col("q"), F.col("v")).alias("dist")), k)
+
+
 def synthetic(spark: SparkSession, book: Codebook, rows: int, noise: float = 0.1, seed: int = 42) -> DataFrame:
     """(id, pq_code, v): codes drawn by hash for each row and subspace, centroids and normal noise, turned back."""
     sizes = [len(c) for c in book.centroids]

@@ -23,6 +23,11 @@ from ..sources.vectors import read_packed, read_wide, write_wide
 DIM, K, SEED = 64, 10, 42
 FAMILY = HashFamily.draw(DIM, tables=4, hashes=2, width=0.5)
 COSINE = HashFamily.draw(DIM, tables=4, hashes=6, metric="cosine")
+#: Families of the search queries. The vectors of the tables have no structure, neighbours are hardly nearer than others,
+#: so a recall of 0.9 takes wide buckets, and most points as candidates.
+WIDE = HashFamily.draw(DIM, tables=6, hashes=2, width=2.0)
+PROBED = HashFamily.draw(DIM, tables=12, hashes=3, width=1.5)
+PROBED_COSINE = HashFamily.draw(DIM, tables=8, hashes=4, metric="cosine")
 MANHATTAN = HashFamily.draw(DIM, tables=3, hashes=2, width=20.0, metric="manhattan")
 FAST = HashFamily.draw(DIM, tables=3, hashes=2, width=0.5, ratio=0.5)
 WIDTHS = MultiWidth.draw(DIM, 3, [0.25, 0.5, 1.0])
@@ -151,10 +156,10 @@ def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.candidates(asked(spark, sf_dir), ann.build_index(p, FAMILY), FAMILY).where("q_id <> id")
 
 
-@query(with_(index_sql(FAMILY), CANDIDATES, RANKED) + top("d"))
+@query(with_(index_sql(WIDE), CANDIDATES, RANKED) + top("d"))
 def lsh_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    return rounded(ann.hash_knn(p, asked(spark, sf_dir), ann.build_index(p, FAMILY), FAMILY, K), "dist")
+    return rounded(ann.hash_knn(p, asked(spark, sf_dir), ann.build_index(p, WIDE), WIDE, K), "dist")
 
 
 def probe_sql(f: HashFamily, probes: int) -> str:
@@ -166,19 +171,19 @@ def probe_sql(f: HashFamily, probes: int) -> str:
     )
 
 
-@query(with_(index_sql(FAMILY), probe_sql(FAMILY, 5), RANKED) + top("d"))
+@query(with_(index_sql(PROBED), probe_sql(PROBED, 5), RANKED) + top("d"))
 def lsh_knn_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    return rounded(ann.hash_knn(p, asked(spark, sf_dir), ann.build_index(p, FAMILY), FAMILY, K, probes=5), "dist")
+    return rounded(ann.hash_knn(p, asked(spark, sf_dir), ann.build_index(p, PROBED), PROBED, K, probes=5), "dist")
 
 
 @query(
-    with_(index_sql(COSINE), probe_sql(COSINE, 7), "d AS (SELECT cand.q_id, cand.id, 1 - list_dot_product(qv, v) / (sqrt(list_dot_product(qv, qv)) * sqrt(list_dot_product(v, v))) AS dist FROM cand JOIN q USING (q_id) JOIN e USING (id))")
+    with_(index_sql(PROBED_COSINE), probe_sql(PROBED_COSINE, 4), "d AS (SELECT cand.q_id, cand.id, 1 - list_dot_product(qv, v) / (sqrt(list_dot_product(qv, qv)) * sqrt(list_dot_product(v, v))) AS dist FROM cand JOIN q USING (q_id) JOIN e USING (id))")
     + top("d")
 )
 def lsh_knn_cosine_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    return rounded(ann.hash_knn(p, asked(spark, sf_dir), ann.build_index(p, COSINE), COSINE, K, probes=7), "dist")
+    return rounded(ann.hash_knn(p, asked(spark, sf_dir), ann.build_index(p, PROBED_COSINE), PROBED_COSINE, K, probes=4), "dist")
 
 
 _LEVELS = 5
@@ -200,13 +205,13 @@ def lsh_adaptive_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of multi-probe search against exact search."""
     p, q = points(spark, sf_dir), asked(spark, sf_dir)
-    found = ann.hash_knn(p, q, ann.build_index(p, FAMILY), FAMILY, K, probes=9)
+    found = ann.hash_knn(p, q, ann.build_index(p, PROBED), PROBED, K, probes=5)
     return rounded(ann.overlap(ann.exact_knn(p, q, K), found, K), "recall")
 
 
 query(
     with_(
-        index_sql(FAMILY), probe_sql(FAMILY, 9), RANKED,
+        index_sql(PROBED), probe_sql(PROBED, 5), RANKED,
         "t AS (SELECT q_id, id, list_distance(qv, v) AS dist FROM q, e WHERE q_id <> id)",
         f"a AS ({top('t')}), b AS ({top('d')})",
     )
@@ -610,6 +615,20 @@ def pq_coarse_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, "dist").select("q_id", "rn", "dist")
 
 
+@query(
+    with_(
+        lloyd_sql(1, 8, STEPS, "z"), "pb AS (SELECT q_id, qv, zc.code AS cell FROM q, zc QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY list_distance(qv, zc.x), zc.code) <= 7)",
+        "d AS (SELECT q_id, zl.id, list_distance(qv, zl.x) AS dist FROM pb JOIN zl ON zl.code = pb.cell WHERE q_id <> zl.id)",
+    )
+    + top("d")
+)
+def coarse_cells_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search in each query's nearest cells by the vectors themselves."""
+    p = points(spark, sf_dir)
+    centres, cells = pq.coarse_cells(p, 8, STEPS)
+    return rounded(pq.cell_search_exact(p.join(cells, "id"), asked(spark, sf_dir), centres, n_probe=7), "dist")
+
+
 @query()
 def pq_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of the book without centroids close to more important ones."""

@@ -35,3 +35,11 @@ def test_matches_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL)))
 def test_runs(spark, name):
     assert plans.QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize(("name", "metric", "least"), [("lsh_knn", "euclidean", 0.87), ("lsh_knn_multiprobe", "euclidean", 0.87), ("lsh_knn_cosine_multiprobe", "cosine", 0.87), ("coarse_cells_exact", "euclidean", 0.9)])
+def test_recall_of_the_search_queries(spark, name, metric, least):
+    """Against exact search, here on 25 queries; README has the figures of the larger tables."""
+    truth = plans.QUERIES[f"knn_{metric}"](spark, SF)
+    found = plans.QUERIES[name](spark, SF)
+    assert plans.ann.overlap(truth, found, plans.K).first().recall >= least
