@@ -5,7 +5,7 @@ block, and what leaves a step is what the caller's function makes of it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -211,6 +211,37 @@ def label_distances(points: DataFrame, label: str, metric: str = "euclidean") ->
     return sums.groupBy("id", "label", "other").agg(F.sum("total").alias("t"), F.sum("n").alias("n")).where("n > 0").select("id", "label", "other", (F.col("t") / F.col("n")).alias("dist"))
 
 
+# -- nearest neighbours ---------------------------------------------------------------------------------------------
+
+#: Points of a block that queries are searched in; of each block, only the nearest of every query leave.
+SEARCHED = 4096
+
+
+def searched(queries: DataFrame, points: DataFrame, far: Callable[[np.ndarray, np.ndarray], Iterator[np.ndarray]], k: int, exclude_self: bool) -> DataFrame:
+    """(q_id, id, dist): for each block of points, the k nearest to every query, ties to smaller ids. far gives the distances
+    of a block's points from each query in turn; queries (id, v), points (id, v)."""
+    asked = packed(queries, rows=ROWS).select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    pairs_ = packed(points, rows=SEARCHED).select("ids", "data").crossJoin(asked)  # of blocks
+
+    def run(batches):
+        for row in (row for batch in batches for row in batch.to_dict("records")):
+            ids, q_ids = (np.frombuffer(row[c], np.int64) for c in ("ids", "q_ids"))
+            x, q = (np.frombuffer(row[c], np.float64).reshape(n, -1) for c, n in (("data", len(ids)), ("q_data", len(q_ids))))
+            out = []
+            for own, d in zip(q_ids, far(q, x), strict=True):
+                places = np.flatnonzero(ids != own) if exclude_self else np.arange(len(ids))
+                d = d[places]
+                if len(d) > k:
+                    near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+                    places, d = places[near], d[near]
+                best = np.lexsort((ids[places], d))[:k]
+                out.append((np.full(len(best), own), ids[places[best]], d[best]))
+            a, b, d = (np.concatenate(part) for part in zip(*out, strict=True))
+            yield pd.DataFrame({"q_id": a, "id": b, "dist": d})
+
+    return pairs_.mapInPandas(run, "q_id long, id long, dist double")
+
+
 # -- pairs within a radius ------------------------------------------------------------------------------------------
 
 #: Points of a cell on average, and cells at most: their centres and radii are on the driver.

@@ -183,14 +183,23 @@ def summed_distance(tables: Column, code: Column, squared: bool = False) -> Colu
 
 
 def search(codes: DataFrame, queries: DataFrame, book: Codebook, k: int = 10, squared: bool = True, exclude_self: bool = True) -> DataFrame:
-    """(q_id, rn, id, dist) by distances of queries to codes (id, pq_code)."""
+    """(q_id, rn, id, dist) by distances of queries to codes (id, pq_code): every pair, in blocks. A query's distances to
+    all centroids are reckoned once a block and looked up by code."""
     from .ann import ranked
+    from .blocks import searched
 
-    tables = queries.select("q_id", book.tables(F.col("v"), squared).alias("tables"))
-    pairs = tables.crossJoin(codes.select("id", "pq_code"))
-    if exclude_self:
-        pairs = pairs.where("q_id <> id")
-    return ranked(pairs.select("q_id", "id", summed_distance(F.col("tables"), F.col("pq_code"), squared).alias("dist")), k)
+    books = [np.array(c, float) for c in book.centroids]
+    turn = None if book.rotation is None else np.array(book.rotation).T
+
+    def far(q, x):
+        own, places = q if turn is None else q @ turn, x.astype(np.int64)
+        for one in own:
+            tables = [((c - one[s : s + n]) ** 2).sum(1) for (s, n), c in zip(book.splits, books, strict=True)]
+            total = sum((t if squared else np.sqrt(t))[places[:, m]] for m, t in enumerate(tables))
+            yield np.sqrt(total) if squared else total
+
+    points = codes.select("id", F.col("pq_code").cast("array<double>").alias("v"))
+    return ranked(searched(queries.select(F.col("q_id").alias("id"), "v"), points, far, k, exclude_self), k)
 
 
 def rerank_codes(found: DataFrame, codes: DataFrame, queries: DataFrame, book: Codebook, k: int, metric: str = "euclidean") -> DataFrame:

@@ -75,3 +75,19 @@ def moons(spark: SparkSession, rows: int, noise: float = 0.1, extra: int = 0, se
     x = F.when(label == 0, F.cos(angle)).otherwise(1 - F.cos(angle)) + noise * _normal(f"{seed}x", F.col("id"))
     y = F.when(label == 0, F.sin(angle)).otherwise(0.5 - F.sin(angle)) + noise * _normal(f"{seed}y", F.col("id"))
     return spark.range(rows).select("id", F.array(x, y, *[_normal(f"{seed}e{i}", F.col("id")) for i in range(extra)]).alias("v"), label.alias("label"))
+
+
+def anisotropic(spark: SparkSession, rows: int, centres: int = 3, spread: float = 1.0, seed: int = 42) -> DataFrame:
+    """(id, v, label): clouds in the plane, drawn out along one direction."""
+    points = blobs(spark, rows, 2, centres, spread, seed=seed)
+    x, y = F.col("v")[0], F.col("v")[1]
+    return points.select("id", F.array(0.6 * x - 0.4 * y, -0.6 * x + 0.8 * y).alias("v"), "label")
+
+
+def mixed(spark: SparkSession, rows: int, extra: int = 0, seed: int = 42) -> DataFrame:
+    """(id, v, label): two clouds and, beside them, two rings of labels 2 and 3; extra numbers of noise."""
+    half = rows // 2
+    clouds = blobs(spark, half, 2, 2, spread=0.8, seed=seed)
+    rings = circles(spark, rows - half, noise=0.05, factor=0.5, seed=seed + 1).select((F.col("id") + half).alias("id"), F.transform("v", lambda x: 5 * x + 5).alias("v"), (F.col("label") + 2).alias("label"))
+    noise = [0.5 * _normal(f"{seed}m{i}", F.col("id")) for i in range(extra)]
+    return clouds.unionByName(rings).withColumn("v", F.concat("v", F.array(*noise).cast("array<double>")))

@@ -497,6 +497,18 @@ def test_wide_and_json_sources(spark, tmp_path, cloud):
         assert all(len(r.v) == 4 for r in made.collect())
 
 
+def test_generated_shapes(spark):
+    both = sources.mixed(spark, 101, extra=3)
+    assert both.count() == 101 and both.select("id").distinct().count() == 101
+    assert {r.label for r in both.select("label").distinct().collect()} == {0, 1, 2, 3}
+    assert both.where("size(v) <> 5").isEmpty()
+    rings = np.array([r.v[:2] for r in both.where("label >= 2").collect()]) - 5
+    assert set(np.round(np.linalg.norm(rings, axis=1) / 2.5).astype(int).tolist()) == {1, 2}
+    x = np.array([r.v for r in sources.anisotropic(spark, 300, centres=1).collect()])
+    values = np.linalg.eigvalsh(np.cov(x.T))
+    assert values[1] > 5 * values[0]
+
+
 def test_distances_by_name(spark):
     row = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0])], "a array<double>, b array<double>")
     got = {m: row.select(vectors.distance(m)(F.col("a"), F.col("b"))).first()[0] for m in vectors.METRICS}
