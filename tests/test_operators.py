@@ -441,6 +441,21 @@ def test_index_and_codes_are_stored_and_grow(spark, tmp_path, cloud):
     assert re.fullmatch(r"batch_[0-9a-f]{16}_\d{8}_\d{6}", shuffled.ingest("a", cloud.where("id < 9")))
 
 
+def test_compressed_codebook_is_stored_with_its_maps(spark, tmp_path, cloud):
+    engine = Engine(spark, f"file://{tmp_path}/engine")
+    engine.create_dataset("a", 8, quantization_method="pq", pq_num_subspaces=4, pq_num_clusters=16)
+    engine.ingest("a", cloud, "one")
+    old = engine.codebook("a")
+    assert engine.compression("a") == {"ratio": old.ratio(300), "maps": None}
+    small = engine.compress_pq("a", threshold=0.8)
+    maps = engine.compression("a")["maps"]
+    assert sum(map(len, small.centroids)) < sum(map(len, old.centroids))
+    assert [max(m) + 1 for m in maps] == [len(c) for c in small.centroids]
+    assert engine.codebook("a") == small
+    assert engine.codes("a").agg(F.max(F.array_max("pq_code"))).first()[0] < max(map(len, small.centroids))
+    assert engine.compression("a")["ratio"] == small.ratio(300, maps=maps)
+
+
 def test_adaptive_search_uses_the_tuned_radius(spark, tmp_path, cloud):
     engine = Engine(spark, f"file://{tmp_path}/engine")
     engine.create_dataset("a", 8, w=0.05, k=3, sampling_ratio=1.0, initial_radius=8.0, radius_expansion=3.0)
