@@ -23,8 +23,8 @@ def bounded(df: DataFrame) -> DataFrame:
     """The frame, its session's Arrow batches bounded in bytes: texts are long, and a batch is in memory several times. A
     caller's own lower bound stays. The frame runs when the caller likes, so the setting has to stay too."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", conf.get(name).lower()).groups()
-    if not 0 < int(number) << 10 * " kmgt".find(unit or " ") <= BATCH_BYTES:
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", conf.get(name).lower()).groups()
+    if int(number) << 10 * " kmgt".find(unit or " ") > BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
     return df
 
