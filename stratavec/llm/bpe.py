@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from . import common, tokens
 
-#: Bytes up to which a half is merged at once, two or three tokens.
-LEAF = 8
+#: Bytes up to which a half is merged at once, about two tokens.
+LEAF = 6
 #: Above every rank.
 NO_RANK = 1 << 60
 
@@ -39,7 +39,7 @@ class Encoder:
         self.pairs = tokens.Cached(self._stable)
         self.leaves = tokens.Cached(self.merged)
         # Pairs of a string and bytes, which the garbage collector stops looking at, unlike as many lists.
-        self.known = tokens.Cached(self._both, 128 << 20)
+        self.known = tokens.Cached(self._both, 240 << 20)
 
     @staticmethod
     def _ids(spelled: str) -> list[int]:
