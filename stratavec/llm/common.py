@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from ..operators.components import components, forest
 from ..sources.scratch import drop, keep, new_path, shared_folder
 
-__all__ = ["bounded", "byte_texts", "components", "drop", "forest", "keep", "new_path", "parts_for", "shared_folder", "with_fields", "wrapped"]
+__all__ = ["bounded", "byte_texts", "components", "drop", "forest", "keep", "new_path", "parts_for", "settle", "shared_folder", "with_fields", "wrapped"]
 
 
 #: Bytes of one Arrow batch handed to a Python worker at most. One longer row still makes a batch of its own.
@@ -44,5 +45,15 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def settle() -> None:
+    """A task's last call: give memory that its large arrays leave with the allocators back to the system, as the worker
+    lives on beside the next tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # where the C library isn't glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def parts_for(spark: SparkSession, rows: int, per_part: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part))

@@ -39,9 +39,9 @@ LENGTH, GRAM, PERIOD = 100, 32, 32
 #: Bytes hashed at once, at most 2 ** POSITION_BITS; longer texts are taken in overlapping parts.
 SEGMENT, POSITION_BITS = 1 << 18, 20
 #: Runs that a task gathers before it sends them, and runs in a bucket on average.
-LOT, BUCKET_RUNS = 400_000, 300_000
-#: Runs whose contexts are cut at once.
-CUT_RUNS = 4096
+LOT, BUCKET_RUNS = 300_000, 300_000
+#: Runs whose contexts are cut at once, and halves of contexts that a task gathers before it sends them.
+CUT_RUNS, CUT_LOT = 4096, 30_000
 NO_ID = (1 << 63) - 1
 #: A run as it is sent, and as a task compares it: with the hash of its context, and where its bytes are.
 SENT = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("lo", "<i4"), ("more", "<u2"), ("rel", "<u2")])
@@ -221,6 +221,7 @@ def _first_pass(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                     yield send()
         if waiting:
             yield send()
+        common.settle()
 
     return docs.select("doc", "tag", "text").mapInArrow(scan, "bucket int, runs binary, spans binary")
 
@@ -414,18 +415,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     deep = common.parts_for(spark, open_.count() * 2, 60_000)
 
     def cut(batches):
+        out: list[np.ndarray] = []
+
+        def send():
+            rows = np.concatenate(out)
+            out.clear()
+            parts = _bucketed(rows, rows["key"], deep)
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([_packed(p[1]) for p in parts], pa.binary())], ["bucket", "rows"])
+
         for batch in batches:
             doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             flat = batch.column(3).flatten()
             columns = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "stop", "anchor", "rel")]
             ends = np.cumsum(batch.column(3).value_lengths().to_numpy(zero_copy_only=False))
-            out = []
             for k, text in enumerate(common.byte_texts(batch.column(2))):
                 own = slice(ends[k - 1] if k else 0, ends[k])
                 out.append(contexts(text, doc[k], tag[k], *[c[own] for c in columns], length))
-            rows = np.concatenate(out) if out else np.zeros(0, kind)
-            parts = _bucketed(rows, rows["key"], deep)
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([_packed(p[1]) for p in parts], pa.binary())], ["bucket", "rows"])
+                if sum(map(len, out)) >= CUT_LOT:
+                    yield send()
+        if out:
+            yield send()
+        common.settle()
 
     def sort(table: pa.Table) -> pa.Table:
         rows = np.frombuffer(b"".join(map(_unpacked, table.column("rows").to_pylist())), kind)
