@@ -112,6 +112,8 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         sums = (total[:-1:2] - total[1::2]).reshape(ENTRIES, DIM)
         some = np.flatnonzero(sums.any(1))
         yield pa.record_batch([pa.array(some.astype(np.int32)), *[pa.array(sums[some, k]) for k in range(DIM)]], ["e", *[f"c{k}" for k in range(DIM)]])
+        del total, sums
+        common.settle()
 
     counted = common.bounded(docs.select("text")).mapInArrow(count, "e int, " + ", ".join(f"c{k} long" for k in range(DIM)))
     found = counted.groupBy("e").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(DIM)]).toArrow()  # ENTRIES rows at most
@@ -235,6 +237,7 @@ def scored(docs: DataFrame, vectors: np.ndarray, network: Network | float) -> Da
             texts = common.byte_texts(batch.column("text"))
             found = np.full(len(texts), network) if isinstance(network, float) else network.scores(pooled(texts, vectors, known))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(found.astype(np.float64)), pa.array((found >= 0.5).astype(np.int32))], schema=pa.schema([*[batch.schema.field(n) for n in names], pa.field("_score", pa.float64()), pa.field("_predicted", pa.int32())]))
+        common.settle()
 
     names = docs.columns
     return common.bounded(docs).mapInArrow(run, common.with_fields(docs, ("_score", "double"), ("_predicted", "int")))

@@ -195,6 +195,7 @@ def set_fingerprints(docs: DataFrame, words: int, planes: int) -> DataFrame:
             sets = [shingle_set(t, words) for t in common.byte_texts(batch.column(2))]
             fps = [_majority((s[at : at + LOT] for at in range(0, len(s), LOT)), planes) for s in sets]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(_set_ids(sets)), pa.array(fps, pa.binary())], ["doc_id", "tag", "id", "fp"])
+        common.settle()
 
     return _tagged(docs).mapInArrow(make, f"doc_id {dict(docs.dtypes)['doc_id']}, tag long, id long, fp binary")
 
@@ -335,6 +336,7 @@ def links(items: DataFrame, covering: Covering, most: int, count: int) -> DataFr
                 own, first = np.unique(bucket, return_index=True)
                 bounds = [*first, len(rows)]
                 yield pa.record_batch([pa.array(own.astype(np.int32)), pa.array([rows[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["bucket", "rows"])
+        common.settle()
 
     def compare(table: pa.Table) -> pa.Table:
         rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), covering.kind)
