@@ -63,7 +63,7 @@ def index_codes() -> list[np.ndarray]:
 @functools.cache
 def known_entries() -> tokens.Cached:
     """Entries of words; made once in a worker, whatever its tasks."""
-    return tokens.Cached(entry)
+    return tokens.Cached(entry, 56 << 20)
 
 
 def _entries(words: list[bytes], known: tokens.Cached) -> tuple[np.ndarray, np.ndarray]:
