@@ -960,6 +960,33 @@ def test_fewer_vectors_than_k(spark):
     assert got == [(0, 1, 1), (0, 2, 1)]
 
 
+def test_blocks_of_queries_and_shards_meet_without_copies(spark):
+    """A block of queries once was copied to every group of shards, and shuffled."""
+    vectors = topk.quantized(spark.createDataFrame([(i, [float(i), 1.0]) for i in range(60)], "vec_id long, embedding array<float>"))
+    plan = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" in plan
+
+
+def test_the_kth_score_goes_on_from_shard_to_shard(monkeypatch):
+    monkeypatch.setattr(topk, "STRIP", 8)
+    rng = np.random.default_rng(5)
+    for kind, scale in (("<i2", 40), ("<i4", 1 << 20), ("<i8", 1 << 27)):
+        x, ids = (rng.normal(size=(900, 16)) * scale).astype(kind), rng.permutation(900)
+        x[300:340] = x[5]
+        asked = np.arange(0, 900, 30)
+        best, got, rows = np.full((len(asked), 4), -np.inf), {}, []
+        for at in range(0, 900, 100):
+            found = [list(zip(*(c.tolist() for c in part), strict=True)) for part in topk.max_score(ids[asked], x[asked], ids[at : at + 100], x[at : at + 100], 4, best)]
+            rows.append(sum(map(len, found)))
+            for q, i, s in (r for part in found for r in part):
+                got.setdefault(q, []).append((-s, i))
+        if kind != "<i8":
+            assert rows[-1] < rows[0] / 2
+        for n in asked:
+            scores = x.astype(np.int64) @ x[n].astype(np.int64)
+            assert sorted(got[ids[n]])[:4] == sorted((-int(s), int(i)) for s, i in zip(scores, ids, strict=True) if i != ids[n])[:4]
+
+
 # -- the queries and the pipeline -----------------------------------------------------------------------------------
 
 SF = "/root/testdata/sf0.001"
