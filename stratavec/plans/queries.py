@@ -159,7 +159,7 @@ def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_(index_sql(WIDE), CANDIDATES, RANKED) + top("d"))
 def lsh_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    return rounded(ann.hash_knn(p, asked(spark, sf_dir), ann.build_index(p, WIDE), WIDE, K), "dist")
+    return rounded(ann.hash_knn(p, asked(spark, sf_dir), WIDE, K), "dist")
 
 
 def probe_sql(f: HashFamily, probes: int) -> str:
@@ -174,7 +174,7 @@ def probe_sql(f: HashFamily, probes: int) -> str:
 @query(with_(index_sql(PROBED), probe_sql(PROBED, 5), RANKED) + top("d"))
 def lsh_knn_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    return rounded(ann.hash_knn(p, asked(spark, sf_dir), ann.build_index(p, PROBED), PROBED, K, probes=5), "dist")
+    return rounded(ann.rerank(ann.candidates(asked(spark, sf_dir), ann.build_index(p, PROBED), PROBED, 5), p, asked(spark, sf_dir), K), "dist")
 
 
 @query(
@@ -183,7 +183,7 @@ def lsh_knn_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def lsh_knn_cosine_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    return rounded(ann.hash_knn(p, asked(spark, sf_dir), ann.build_index(p, PROBED_COSINE), PROBED_COSINE, K, probes=4), "dist")
+    return rounded(ann.rerank(ann.candidates(asked(spark, sf_dir), ann.build_index(p, PROBED_COSINE), PROBED_COSINE, 4), p, asked(spark, sf_dir), K, "cosine"), "dist")
 
 
 _LEVELS = 5
@@ -205,7 +205,7 @@ def lsh_adaptive_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of multi-probe search against exact search."""
     p, q = points(spark, sf_dir), asked(spark, sf_dir)
-    found = ann.hash_knn(p, q, ann.build_index(p, PROBED), PROBED, K, probes=5)
+    found = ann.rerank(ann.candidates(q, ann.build_index(p, PROBED), PROBED, 5), p, q, K)
     return rounded(ann.overlap(ann.exact_knn(p, q, K), found, K), "recall")
 
 

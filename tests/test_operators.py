@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stratavec.functions import hashing, vectors
 from stratavec.functions.hashing import HashFamily
-from stratavec.operators import ann, blocks, components, dbscan, estimators, gradient, kmeans, metrics, pq, projection, sampling, tuning
+from stratavec.operators import ann, blocks, components, dbscan, estimators, gradient, kmeans, metrics, nearest, pq, projection, sampling, tuning
 from stratavec.sources import vectors as sources
 from stratavec.sources.catalog import Engine
 from stratavec.sources.reports import Report
@@ -574,3 +574,45 @@ def test_sweep_scores_all_points(spark):
     row = metrics.k_sweep(points, [3], steps=2)[0]
     rows = kmeans.assigned(points, np.array(kmeans.lloyd(points, 3, 2, 0)))
     assert row["silhouette_mean"] == pytest.approx(metrics.silhouette(rows).first()[0], abs=1e-9)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "cosine"])
+@pytest.mark.parametrize("probes", [1, 4])
+def test_hash_search_in_blocks_agrees_with_candidates(spark, metric, probes, monkeypatch):
+    """Once every candidate was a row, and joined with both vectors. Here with few and with many candidates, many copies, blocks
+    that hold less than k, one after another."""
+    monkeypatch.setattr(nearest, "POINTS", 64)
+    monkeypatch.setattr(nearest, "QUERIES", 16)
+    monkeypatch.setattr(nearest, "STRIP", 8)
+    monkeypatch.setattr(nearest, "MEASURED", 50)
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(300, 8)), np.zeros((2, 8))])
+    x[100:190] = x[20]
+    x[200:203] = x[20] + 1e-9
+    odd = [(900, None), (940, [1.0, None, *[0.0] * 6]), (980, [1.0, 2.0]), (None, x[0].tolist())]
+    points = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(x)), *odd], "id long, v array<double>").repartition(3)
+    whole = points.where("id < 900")
+    q = points.where("id % 20 = 0").select(F.col("id").alias("q_id"), "v")
+    for width in (0.4, 6.0):
+        f = HashFamily.draw(8, 3, 2 if metric == "cosine" and width > 1 else 4, width, metric)
+        asked = q.where("q_id < 900")
+        want = ann.rerank(ann.candidates(asked, ann.build_index(whole, f), f, probes), whole, asked, 12, metric)
+        got = ann.hash_knn(points, q, f, 12, probes)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "cosine"])
+def test_numbers_of_blocks_are_those_of_columns(spark, metric):
+    x = np.random.default_rng(12).normal(size=(200, 64))
+    f = HashFamily.draw(64, 3, 2, 0.01, metric)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    rows_ = points.select("id", f.bins(F.col("v")).alias("bins"), vectors.distance(metric)(F.lit(x[0].tolist()), F.col("v")).alias("d")).orderBy("id").collect()
+    assert [r.bins for r in rows_] == f.bins_rows(x).tolist()
+    assert [r.d for r in rows_] == nearest.measured(np.tile(x[0], (200, 1)), x, metric).tolist()
+
+
+def test_hash_search_makes_no_row_of_a_candidate(spark):
+    points = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(60)], "id long, v array<double>")
+    f = HashFamily.draw(2, 2, 1, 100.0)
+    plan = ann.hash_knn(points, points.withColumnRenamed("id", "q_id"), f, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bucket_key" not in plan and "Generate" not in plan and "Join" in plan
