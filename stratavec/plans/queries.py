@@ -183,7 +183,7 @@ def lsh_knn_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def lsh_knn_cosine_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    return rounded(ann.rerank(ann.candidates(asked(spark, sf_dir), ann.build_index(p, PROBED_COSINE), PROBED_COSINE, 4), p, asked(spark, sf_dir), K, "cosine"), "dist")
+    return rounded(ann.hash_knn(p, asked(spark, sf_dir), PROBED_COSINE, K, probes=4), "dist")
 
 
 _LEVELS = 5
