@@ -174,7 +174,7 @@ def probe_sql(f: HashFamily, probes: int) -> str:
 @query(with_(index_sql(PROBED), probe_sql(PROBED, 5), RANKED) + top("d"))
 def lsh_knn_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    return rounded(ann.rerank(ann.candidates(asked(spark, sf_dir), ann.build_index(p, PROBED), PROBED, 5), p, asked(spark, sf_dir), K), "dist")
+    return rounded(ann.hash_knn(p, asked(spark, sf_dir), PROBED, K, probes=5), "dist")
 
 
 @query(
