@@ -205,7 +205,7 @@ def lsh_adaptive_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of multi-probe search against exact search."""
     p, q = points(spark, sf_dir), asked(spark, sf_dir)
-    found = ann.rerank(ann.candidates(q, ann.build_index(p, PROBED), PROBED, 5), p, q, K)
+    found = ann.hash_knn(p, q, PROBED, K, probes=5)
     return rounded(ann.overlap(ann.exact_knn(p, q, K), found, K), "recall")
 
 

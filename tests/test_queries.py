@@ -45,7 +45,7 @@ def test_recall_of_the_search_queries(spark, name, metric, least):
     assert plans.ann.overlap(truth, found, plans.K).first().recall >= least
 
 
-@pytest.mark.parametrize("name", ["lsh_knn", "lsh_knn_cosine_multiprobe", "lsh_knn_multiprobe"])
+@pytest.mark.parametrize("name", ["lsh_knn", "lsh_knn_cosine_multiprobe", "lsh_knn_multiprobe", "lsh_recall"])
 def test_search_queries_make_no_row_of_a_candidate(spark, name):
     """Candidates meet in blocks; as rows, they are most pairs of a query and a point."""
     assert "bucket_key" not in plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
